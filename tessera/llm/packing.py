@@ -85,19 +85,16 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 4096) -> Data
         encode, base = encoder(tokenizer).encode, TaskContext.get().partitionId() << 32
         doc, start, length, crc, total = ([] for _ in range(5))
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                texts = (t or "" for t in part.column("text").to_pylist())
-                for key, ids in zip(part.column("doc_id").to_pylist(), encode(texts)):
-                    data = ids.astype("<u4").tobytes() + int(end_id).to_bytes(4, "little")
-                    n = len(data) // 4
-                    for at in range(0, n, size):
-                        piece = data[4 * at : 4 * (at + size)]
-                        doc.append(key)
-                        start.append(at)
-                        length.append(len(piece) // 4)
-                        crc.append(zlib.crc32(piece))
-                        total.append(n)
+            for key, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text"))):
+                data = ids.astype("<u4").tobytes() + int(end_id).to_bytes(4, "little")
+                n = len(data) // 4
+                for at in range(0, n, size):
+                    piece = data[4 * at : 4 * (at + size)]
+                    doc.append(key)
+                    start.append(at)
+                    length.append(len(piece) // 4)
+                    crc.append(zlib.crc32(piece))
+                    total.append(n)
         if not doc:
             return
         window, offset, _ = best_fit_decreasing(np.array(length, np.int64), size)

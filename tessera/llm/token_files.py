@@ -139,12 +139,10 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None =
 
         def payload(batch):
             while batch is not None:
-                for i in range(0, batch.num_rows, 256):
-                    part = batch.slice(i, 256)
-                    keys.extend(part.column("doc_id").to_pylist())
-                    for ids in encode.encode(t or "" for t in part.column("text").to_pylist()):
-                        lengths.append(len(ids) + 1)
-                        yield ids.astype(kind).tobytes() + end
+                keys.extend(batch.column("doc_id").to_pylist())
+                for ids in encode.encode(batch.column("text")):
+                    lengths.append(len(ids) + 1)
+                    yield ids.astype(kind).tobytes() + end
                 batch = next(batches, None)
 
         first = next((b for b in batches if b.num_rows), None)

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -28,13 +29,13 @@ def test_cached_units_equal_whole_encoding(path):
     rng, letters = random.Random(3), list("aB1é 'st’\n\t.,!?-_(ß<|>…́İΣ漢½​\xa0\x0b\x85ा") + ["'s", "'LL", " ", "\n\n", "<|endoftext|>"]
     texts = ["".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(3000)]
     encoder = tokens.Encoder(path)
-    assert [x.tolist() for x in encoder.encode(texts)] == encoder.whole(texts)
+    assert [x.tolist() for x in encoder.encode(pa.array(texts))] == encoder.whole(texts)
 
 
 def test_full_cache_changes_nothing(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE", 5)
     encoder, texts = tokens.Encoder(BYTE), ["one two three four five six seven", "one nine", "two ten one", ""] * 3
-    assert [x.tolist() for x in encoder.encode(texts)] == encoder.whole(texts)
+    assert [x.tolist() for x in encoder.encode(pa.array(texts))] == encoder.whole(texts)
 
 
 def test_key_index_is_minimal_and_perfect():
