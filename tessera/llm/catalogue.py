@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import packing, token_files
-from tessera.llm.common import read
+from tessera.llm import mixing, packing, quality_rules, token_files
+from tessera.llm.common import read, written
 from tessera.llm.tokens import tokenizer_path
 
 
@@ -17,9 +17,23 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = written(read(spark, sf_dir, "documents", "doc_id", "source", mixing.n_words("text").alias("size")), "sizes")
+    return mixing.mix(sizes, size="size").select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(read(spark, sf_dir, "documents", "doc_id", "lang", "source", "text"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES = {"op2_token_files": op2_token_files, "op9_packing": op9_packing}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op2_token_files": op2_token_files,
+    "op3_mixing": op3_mixing,
+    "op6_quality_rules": op6_quality_rules,
+    "op9_packing": op9_packing,
+}
+ORACLES = {"op3_mixing": mixing.SQL}

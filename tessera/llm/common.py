@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
+def read(spark: SparkSession, sf_dir: str, table: str, *columns: str | Column) -> DataFrame:
     """Some columns of a table; a column that the table lacks is an error."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
 
