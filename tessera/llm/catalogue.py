@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, packing, quality_rules, token_files
+from tessera.llm import mixing, near_duplicates, packing, quality_rules, token_files
 from tessera.llm.common import read, written
 from tessera.llm.tokens import tokenizer_path
 
@@ -30,10 +30,15 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("word_bpe_49k.json"), end_id=2)
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(read(spark, sf_dir, "documents", "doc_id", "text"), words=2)
+
+
 QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_mixing": op3_mixing,
     "op6_quality_rules": op6_quality_rules,
     "op9_packing": op9_packing,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 ORACLES = {"op3_mixing": mixing.SQL}
