@@ -6,11 +6,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, near_duplicates, packing, quality_rules, token_files
+from tessera.llm import mixing, near_duplicates, packing, quality_rules, repeats, token_files
 from tessera.llm.common import read, written
 from tessera.llm.tokens import tokenizer_path
 
 
+def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = repeats.remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return docs.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write_ids(read(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("byte_bpe_50k.json"), end_id=0)
     docs = token_files.read_ids(manifest)
@@ -35,6 +40,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_repeats": op1_repeats,
     "op2_token_files": op2_token_files,
     "op3_mixing": op3_mixing,
     "op6_quality_rules": op6_quality_rules,
