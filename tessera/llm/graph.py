@@ -11,19 +11,29 @@ from tessera.llm.common import written
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b (long). Returns node and component, its smallest node, for every node of an edge.
 
-    Each round a node takes the least label of its neighbours and then its label's label, so rounds grow with the logarithm
-    of the longest path. Labels are written each round; only the number of changed ones comes to the driver. A node with very many edges is
-    summed up before the exchange, and joins on it are split by Spark's skew handling.
+    Each round contracts the graph: a node is merged into the one of least hash among itself and its neighbours, and only
+    edges between merged nodes go on. Hashes change from round to round, so a path or a grid loses a constant
+    part of its nodes each time and a star all of them; edges are joined once a round and soon few. Rounds are written; only
+    whether an edge is left comes to the driver. A node with very many edges is summed up before the exchange,
+    and joins on it are split by Spark's skew handling.
     """
-    both = written(edges.filter("a <> b").select("a", "b").unionByName(edges.filter("a <> b").selectExpr("b AS a", "a AS b")).distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component")), "labels")
+    edges = written(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    merged: list[DataFrame] = []
     while True:
-        of = labels.select(F.col("node").alias("b"), F.col("component").alias("theirs"))
-        near = both.join(of, "b").groupBy(F.col("a").alias("node")).agg(F.min("theirs").alias("theirs"))
-        nearer = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "theirs").alias("step"))
-        root = labels.select(F.col("node").alias("step"), F.col("component").alias("root"))
-        jumped = nearer.join(root, "step").select("node", "was", F.least("step", "root").alias("component"))
-        table = written(jumped, "labels")
-        labels = table.select("node", "component")
-        if table.filter("was <> component").isEmpty():
-            return labels
+        ways = edges.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")).select("e.*")
+        into = ways.groupBy("x").agg(F.min(F.struct(F.xxhash64("y", F.lit(len(merged))).alias("h"), "y")).alias("m"))
+        into = written(into.select("x", F.least(F.struct(F.xxhash64("x", F.lit(len(merged))).alias("h"), F.col("x").alias("y")), "m")["y"].alias("p")), "merged")
+        merged.append(into)
+        if edges.isEmpty():
+            break
+        a = into.withColumnsRenamed({"x": "a", "p": "pa"})
+        b = into.withColumnsRenamed({"x": "b", "p": "pb"})
+        joined = edges.join(a, "a").join(b, "b").filter("pa <> pb")
+        edges = written(joined.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+    # a node's last name: follow the rounds
+    names = merged[0].withColumnsRenamed({"x": "node", "p": "c"})
+    for into in merged[1:]:
+        names = names.join(into, F.col("c") == F.col("x"), "left").select("node", F.coalesce("p", "c").alias("c"))
+    names = written(names, "names")
+    least = names.groupBy("c").agg(F.min("node").alias("component"))
+    return written(names.join(least, "c").select("node", "component"), "components")
