@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, near_duplicates, packing, quality_rules, repeats, token_files, url_filters
+from tessera.llm import mixing, near_duplicates, packing, quality_rules, repeats, token_files, url_filters, warc
 from tessera.llm.common import read, written
 from tessera.llm.tokens import tokenizer_path
 
@@ -31,6 +31,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents", "doc_id", "lang", "source", "text"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(warc.write(read(spark, sf_dir, "pages", "page_id", "url", "html")))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(read(spark, sf_dir, "pages", "page_id", "url")).drop("score")
 
@@ -48,8 +52,9 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_mixing": op3_mixing,
     "op6_quality_rules": op6_quality_rules,
+    "op7_warc": op7_warc,
     "op8_url_filters": op8_url_filters,
     "op9_packing": op9_packing,
     "op10_near_duplicates": op10_near_duplicates,
 }
-ORACLES = {"op3_mixing": mixing.SQL}
+ORACLES = {"op3_mixing": mixing.SQL, "op7_warc": warc.SQL}

@@ -66,7 +66,7 @@ def put(uri: str, pieces) -> int:
     files, path = store(uri)
     files.create_dir(path.rpartition("/")[0], recursive=True)
     size, temporary = 0, f"{path}.{uuid.uuid4().hex}.tmp"
-    with files.open_output_stream(temporary) as out:
+    with files.open_output_stream(temporary, compression=None) as out:
         for piece in pieces:
             out.write(piece)
             size += len(piece)
