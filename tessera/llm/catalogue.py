@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, near_duplicates, packing, quality_rules, repeats, token_files, url_filters, warc
+from tessera.llm import metric_tree, mixing, near_duplicates, packing, quality_rules, repeats, token_files, url_filters, warc
 from tessera.llm.common import read, written
 from tessera.llm.tokens import tokenizer_path
 
@@ -27,6 +27,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sizes, size="size").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_metric_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_tree.top_k(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents", "doc_id", "lang", "source", "text"))
 
@@ -51,10 +55,11 @@ QUERIES = {
     "op1_repeats": op1_repeats,
     "op2_token_files": op2_token_files,
     "op3_mixing": op3_mixing,
+    "op5_metric_tree": op5_metric_tree,
     "op6_quality_rules": op6_quality_rules,
     "op7_warc": op7_warc,
     "op8_url_filters": op8_url_filters,
     "op9_packing": op9_packing,
     "op10_near_duplicates": op10_near_duplicates,
 }
-ORACLES = {"op3_mixing": mixing.SQL, "op7_warc": warc.SQL}
+ORACLES = {"op3_mixing": mixing.SQL, "op5_metric_tree": metric_tree.SQL, "op7_warc": warc.SQL}
