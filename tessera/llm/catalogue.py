@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import metric_tree, mixing, near_duplicates, packing, quality_rules, repeats, token_files, url_filters, warc
+from tessera.llm import metric_tree, mixing, near_duplicates, packing, quality_classifier, quality_rules, repeats, token_files, url_filters, warc
 from tessera.llm.common import read, written
 from tessera.llm.tokens import tokenizer_path
 
@@ -27,6 +27,14 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sizes, size="size").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    net = quality_classifier.fit(docs, read(spark, sf_dir, "labels", "doc_id", "quality"))
+    found = quality_classifier.scored(docs, net)
+    good = F.when(F.col("score") >= quality_classifier.GOOD, 1).otherwise(0)
+    return found.select("doc_id", quality_classifier.held_out().alias("held_out"), "score", good.cast("int").alias("predicted"))
+
+
 def op5_metric_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_tree.top_k(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
@@ -55,6 +63,7 @@ QUERIES = {
     "op1_repeats": op1_repeats,
     "op2_token_files": op2_token_files,
     "op3_mixing": op3_mixing,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_metric_tree": op5_metric_tree,
     "op6_quality_rules": op6_quality_rules,
     "op7_warc": op7_warc,
