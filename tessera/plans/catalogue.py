@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from tessera.plans import prediction_queries
+
+GROUPS = (prediction_queries,)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: q for g in GROUPS for k, q in g.QUERIES.items()}
+ORACLES: dict[str, str] = {k: q for g in GROUPS for k, q in g.ORACLES.items()}
