@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import prediction_queries
+from tessera.plans import corpus_queries, prediction_queries, structure_queries
 
-GROUPS = (prediction_queries,)
+GROUPS = (prediction_queries, structure_queries, corpus_queries)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: q for g in GROUPS for k, q in g.QUERIES.items()}
 ORACLES: dict[str, str] = {k: q for g in GROUPS for k, q in g.ORACLES.items()}
