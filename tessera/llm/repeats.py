@@ -156,7 +156,7 @@ def resolve(kinds: DataFrame, width: int) -> DataFrame:
         place, of = start[hit], of[hit]
         new = np.append(True, (place[1:] != place[:-1] + 1) | (of[1:] != of[:-1]))[: len(place)]
         head = np.flatnonzero(new)
-        last = np.append(head[1:], len(place)) - 1
+        last = np.append(head[1:], len(place))[: len(head)] - 1
         row = of[head]
         shift = np.array(rows["start"], np.int64)[row] - begin[row]
         ids, keys = pa.array(rows["doc_id"], pa.int64()), pa.array(rows["key"], pa.int64())

@@ -53,3 +53,11 @@ def test_remove_repeats(spark, monkeypatch, width, hot, segment):
 
 def test_empty_table(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_shared_grams_without_a_repeated_string(spark):
+    rng = random.Random(1)
+    gram = "".join(rng.choices("abcdef", k=120))
+    rows = [(i, "".join(rng.choices("ghijk", k=300)) + gram + "".join(rng.choices("lmnop", k=300))) for i in range(6)]
+    got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 400).collect()
+    assert len(got) == 6 and all(r.n_removed == 0 and bytes(r.kept).decode() == dict(rows)[r.doc_id] for r in got)
