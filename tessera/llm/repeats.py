@@ -28,7 +28,7 @@ GRAM = 100
 #: Strings in a range, at most.
 RANGE = 2048
 #: Bytes of a long text taken at a time, and of ranges ordered at a time.
-SEGMENT = 4 << 20
+SEGMENT = 2 << 20
 HOT = 8192
 U64 = ww.U64
 
@@ -204,11 +204,13 @@ def repeated_spans(docs: DataFrame, width: int = 400) -> DataFrame:
     docs = with_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     found = written(all_ranges(docs, width), "ranges")
     often = found.groupBy("a").agg(F.count("*").alias("m"), F.bool_or("twice").alias("t")).filter("m > 1 OR t").select("a")
+    often = written(often, "shared-digits")  # a table of its own, so that Spark can split the join at a hot digit
     found = written(found.join(often, "a", "left_semi"), "shared-ranges")
     kinds = found.groupBy("a", "c", "n").agg(F.count("*").alias("m"), F.bool_or("twice").alias("twice"), F.min(F.struct("doc_id", "key", "start")).alias("one"))
     kinds = written(kinds, "kinds")
     whole = found.join(kinds.filter("m > 1").select("a", "c", "n"), ["a", "c", "n"], "left_semi").select("doc_id", "key", "start", (F.col("start") + F.col("n") + width - 1).alias("end"))
     differ = kinds.groupBy("a").agg(F.count("*").alias("kinds"), F.bool_or("twice").alias("inner")).filter("kinds > 1 OR inner")
+    differ = written(differ, "differing-digits")
     differ = kinds.join(differ, "a").select("a", "n", (F.col("m") == 1).alias("once"), "kinds", "one.*")
     wanted = differ.groupBy("doc_id", "key").agg(F.collect_list(F.struct("a", "n", "once", "kinds", "start")).alias("wanted"))
     wanted = wanted.withColumnsRenamed({"doc_id": "_d", "key": "_k"})
