@@ -131,3 +131,41 @@ def inverse(t: int) -> tuple[str, str, str]:
     v = f"({s} + (({w} * {q}) >> 6))"  # blue above green
     g = f"(p - (({q} + {v}) >> 2))"
     return f"{g} + {q}", g, f"{g} + {v}"
+
+
+def python(text: str) -> str:
+    """A formula as a Python expression, for kernels that go sample by sample."""
+    tokens = re.findall(r"CASE|WHEN|THEN|ELSE|END|\w+|//|>>|<=|>=|<>|.", text)
+    at = 0
+
+    def upto(*stops: str) -> str:
+        nonlocal at
+        out, depth = [], 0
+        while tokens[at] not in stops or depth:
+            if tokens[at] == "CASE":
+                out.append(case())
+                continue
+            depth += {"(": 1, ")": -1}.get(tokens[at], 0)
+            out.append({"greatest": "max", "least": "min", "AND": "and", "OR": "or", "=": "==", "<>": "!="}.get(tokens[at], tokens[at]))
+            at += 1
+        at += 1
+        return "".join(out).strip()
+
+    def case() -> str:
+        nonlocal at
+        at += 1
+        while tokens[at] == " ":
+            at += 1
+        out = []
+        while tokens[at] == "WHEN":
+            at += 1
+            test, value = upto("THEN"), upto("WHEN", "ELSE")
+            out.append(f"({value}) if ({test}) else ")
+            if tokens[at - 1] == "ELSE":
+                last = upto("END")
+                return "(" + "".join(out) + f"({last}))"
+            at -= 1
+        raise ValueError("a CASE without ELSE")
+
+    tokens.append("")
+    return upto("")

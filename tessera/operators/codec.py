@@ -14,7 +14,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from tessera.functions import formulas as f
+from tessera.operators import native
+from tessera.operators.native import MAX_PIXELS, BadFile
 
 #: File marker, modes, transforms and frame kinds of the container.
 MARK = b"\x51\x4c\x49\x43"
@@ -23,11 +24,9 @@ PLAIN, GDELTA, RAW, GDELTA_RAW, RLE, GDELTA_RLE, RUNS, SEP_DELTA, RDELTA, BDELTA
 KEY, DUPLICATE, RECTANGLE, MOVE = range(4)
 CRC_FLAG = 0x80
 MAX_FILE = MAX_PAYLOAD = MAX_ANIMATION = 512 << 20
-MAX_PIXELS, MAX_FRAMES = 67_108_864, 100_000
-
-
-class BadFile(ValueError):
-    pass
+MAX_FRAMES = 100_000
+#: Lines in a tile of its own.
+TILE = 1024
 
 
 @dataclass
@@ -200,203 +199,6 @@ def unfilter_lines(data: bytes, line: int, height: int, step: int) -> np.ndarray
     return out
 
 
-# ---------------------------------------------------------------- range coder and native planes
-
-
-class RangeEncoder:
-    """Bits under adaptive 12-bit probabilities of zero, kept by key."""
-
-    def __init__(self, rate: int = 5):
-        self.rate, self.p, self.out = rate, {}, bytearray()
-        self.low, self.range, self.held, self.pending = 0, 0xFFFFFFFF, 0, 1
-
-    def bit(self, key, bit: int | None) -> int:
-        p = self.p.get(key, 2048)
-        bound = (self.range >> 12) * p
-        if bit:
-            self.low += bound
-            self.range -= bound
-            self.p[key] = p - (p >> self.rate)
-        else:
-            self.range = bound
-            self.p[key] = p + ((4096 - p) >> self.rate)
-        while self.range < 1 << 24:
-            self.range <<= 8
-            self._shift()
-        return bit or 0
-
-    def _shift(self) -> None:
-        if self.low < 0xFF000000 or self.low >> 32:
-            carry = self.low >> 32
-            self.out.append(self.held + carry & 255)
-            self.out += bytes([0xFF + carry & 255]) * (self.pending - 1)
-            self.held, self.pending = self.low >> 24 & 255, 0
-        self.pending += 1
-        self.low = self.low << 8 & 0xFFFFFFFF
-
-    def done(self) -> bytes:
-        for _ in range(5):
-            self._shift()
-        return bytes(self.out)
-
-
-class RangeDecoder:
-    def __init__(self, data: bytes, rate: int = 5):
-        self.rate, self.p, self.data, self.at, self.range = rate, {}, data, 5, 0xFFFFFFFF
-        self.code = int.from_bytes(data[1:5].ljust(4, b"\0"), "big")
-
-    def bit(self, key, bit: int | None = None) -> int:
-        p = self.p.get(key, 2048)
-        bound = (self.range >> 12) * p
-        one = self.code >= bound
-        if one:
-            self.code -= bound
-            self.range -= bound
-            self.p[key] = p - (p >> self.rate)
-        else:
-            self.range = bound
-            self.p[key] = p + ((4096 - p) >> self.rate)
-        while self.range < 1 << 24:
-            if self.at >= len(self.data):
-                raise BadFile("coded data is cut off")
-            self.range <<= 8
-            self.code = self.code << 8 | self.data[self.at]
-            self.at += 1
-        return int(one)
-
-
-def _med(W: int, N: int, NW: int, NE: int, M: int) -> int:
-    return min(W, N) if NW >= max(W, N) else max(W, N) if NW <= min(W, N) else N + W - NW
-
-
-#: The eight base predictors by number.
-_BASE = [
-    _med,
-    lambda W, N, NW, NE, M: W,
-    lambda W, N, NW, NE, M: N,
-    lambda W, N, NW, NE, M: (W + N + 1) >> 1,
-    lambda W, N, NW, NE, M: max(0, min(M, N + W - NW)),
-    lambda W, N, NW, NE, M: NE,
-    lambda W, N, NW, NE, M: (W + NE + 1) >> 1,
-    lambda W, N, NW, NE, M: max(0, min(M, (3 * (W + N) - 2 * NW + 2) >> 2)),
-]
-
-
-def _fold(e: int, flip: bool, half: int) -> int:
-    if flip:
-        return 2 * half - 1 if e == -half else 2 * e - 1 if e > 0 else -2 * e
-    return 2 * e if e >= 0 else -2 * e - 1
-
-
-def _unfold(v: int, flip: bool, half: int) -> int:
-    if flip:
-        return -half if v == 2 * half - 1 else (v + 1) >> 1 if v & 1 else -(v >> 1)
-    return -((v + 1) >> 1) if v & 1 else v >> 1
-
-
-def _around(plane: list[list[int]], y: int, x: int, half: int) -> tuple[int, int, int, int]:
-    line, up = plane[y], plane[y - 1] if y else None
-    w = line[x - 1] if x else up[x] if up else half
-    n = up[x] if up else w
-    return w, n, up[x - 1] if up and x else n, up[x + 1] if up and x + 1 < len(line) else n
-
-
-def code_plane(coder: RangeEncoder | RangeDecoder, plane: list[list[int]] | None, w: int, h: int, depth: int, log: int, flip: bool, key: object) -> list[list[int]]:
-    """Writes a plane, or reads one if `plane` is None; both walk the same contexts."""
-    known, half, top = plane, 1 << (depth - 1), (1 << depth) - 1
-    tiles: dict[tuple[int, int], int] = {}
-    if log:
-        cost: dict[tuple[int, int], list[int]] = {}
-        for y in range(h if known else 0):
-            for x in range(w):
-                near, cell = _around(known, y, x, half), cost.setdefault((y >> log, x >> log), [0] * 8)
-                for i, guess in enumerate(_BASE):
-                    v = _fold(((known[y][x] - guess(*near, top) + half) & top) - half, flip, half)
-                    cell[i] += 2 * v.bit_length() if v else 1
-        for ty in range((h - 1 >> log) + 1):
-            for tx in range((w - 1 >> log) + 1):
-                pick, node = (cost[ty, tx].index(min(cost[ty, tx])) if known else None), 1
-                for i in (2, 1, 0):
-                    node = node << 1 | coder.bit((key, "tile", node), None if pick is None else pick >> i & 1)
-                tiles[ty, tx] = node & 7
-    out = known if known else [[0] * w for _ in range(h)]
-    for y in range(h):
-        last = 0
-        for x in range(w):
-            near = _around(out, y, x, half)
-            W, N, NW, NE = near
-            act = abs(W - NW) + abs(NW - N) + abs(N - NE)
-            act = act if act <= 2 else (act - 1).bit_length() + 1 if act <= 1024 else 11
-            ctx = act * 3 + (0 if last == 0 else 1 if last <= 2 else 2)
-            guess = _BASE[tiles[y >> log, x >> log] if log else 0](*near, top)
-            v = _fold(((known[y][x] - guess + half) & top) - half, flip, half) if known else 0
-            bits = v.bit_length() if known else None
-            k = 0
-            while k < depth and coder.bit((key, ctx, k), None if bits is None else int(k < bits)):
-                k += 1
-            read = 1 << (k - 1) if k else 0
-            for i in range(k - 2, -1, -1):
-                read |= coder.bit((key, ctx, k, i), v >> i & 1) << i
-            if not known:
-                out[y][x] = guess + _unfold(read, flip, half) & top
-            last = k
-    return out
-
-
-_FORWARD = [[compile(e, "plane", "eval") for e in f.transform(t)] for t in range(36)]
-_INVERSE = [[compile(e, "plane", "eval") for e in f.inverse(t)] for t in range(36)]
-
-
-def encode_native(rgba: np.ndarray, transform: int = 2, log: int = 0, mode: int = 0) -> bytes:
-    """The range-coded stream: modes 0 and 3, any transform and tile size."""
-    h, w = rgba.shape[:2]
-    kind = mode_of(rgba)
-    gray, channels = kind in (GRAY, GRAYA), 4 if kind in (GRAYA, RGBA) else 1 if kind == GRAY else 3
-    constant = channels == 4 and (rgba[..., 3] == rgba[0, 0, 3]).all()
-    coder, flip = RangeEncoder(), mode == 3
-    wide = rgba.astype(np.int64)
-    if gray:
-        code_plane(coder, wide[..., 0].tolist(), w, h, 8, log, flip, 0)
-    else:
-        r, g, b = (wide[..., i] for i in range(3))
-        for i, e in enumerate(_FORWARD[transform]):
-            code_plane(coder, eval(e, {}, {"r": r, "g": g, "b": b}).tolist(), w, h, 9 if i and transform else 8, log, flip, i)  # noqa: S307
-    if channels == 4 and not constant:
-        code_plane(coder, wide[..., 3].tolist(), w, h, 8, log, flip, 3)
-    body = coder.done()
-    flags = (1 if gray and channels != 1 else 0) | (2 if constant else 0)
-    pixels = (rgba[..., 0] if channels == 1 else rgba[..., :channels]).tobytes()
-    head = b"QST1" + struct.pack("<II6BII", w, h, channels, flags, mode, transform, log, int(rgba[0, 0, 3]) if constant else 0, zlib.crc32(pixels), len(body))
-    return head + struct.pack("<I", zlib.crc32(head + b"\0\0\0\0" + body)) + body
-
-
-def decode_native(data: bytes) -> np.ndarray:
-    if len(data) < 30 or data[:4] != b"QST1":
-        raise BadFile("no native stream")
-    w, h, channels, flags, mode, t, log, control, crc, size = struct.unpack_from("<II6BII", data, 4)
-    if not w or not h or w > 1 << 24 or h > 1 << 24 or w * h > min(1 << 28, MAX_PIXELS):
-        raise BadFile("dimensions are out of range")
-    if channels not in (1, 3, 4) or t > 35 or log > 7 or flags > 31 or size != len(data) - 30:
-        raise BadFile("a native stream's header is invalid")
-    if mode not in (0, 3) or flags >> 2:
-        raise BadFile(f"native mode {mode} is not supported")
-    gray, constant = channels == 1 or flags & 1, flags & 2
-    coder, flip = RangeDecoder(data[30:], 5 if constant or not control else control), mode == 3
-    out = np.full((h, w, 4), 255, np.uint8)
-    plane = lambda depth, key: np.array(code_plane(coder, None, w, h, depth, log, flip, key), np.int64)
-    if gray:
-        out[..., :3] = plane(8, 0)[..., None]
-    else:
-        p, q, s = (plane(9 if i and t else 8, i) for i in range(3))
-        for i, e in enumerate(_INVERSE[t]):
-            out[..., i] = eval(e, {}, {"p": p, "q": q, "s": s}) & 255  # noqa: S307
-    if channels == 4:
-        out[..., 3] = control if constant else plane(8, 3)
-    if zlib.crc32((out[..., 0] if channels == 1 else out[..., :channels]).tobytes()) != crc:
-        raise BadFile("pixels have another checksum")
-    return out
-
-
 # ---------------------------------------------------------------- blocks of 16 by 16
 
 
@@ -510,6 +312,134 @@ def decode_blocks(data: bytes, w: int, h: int) -> np.ndarray:
     return out
 
 
+# ---------------------------------------------------------------- palette moves, periodic gray, tiles
+
+
+def palette_moves(ids: np.ndarray) -> bytes:
+    """Runs that repeat the place left, above or up-left of each place, whichever comes first in this order, and single numbers."""
+    h, w = ids.shape
+    same = np.zeros((3, h, w), bool)
+    same[0, :, 1:] = ids[:, 1:] == ids[:, :-1]
+    same[1, 1:] = ids[1:] == ids[:-1]
+    same[2, 1:, 1:] = ids[1:, 1:] == ids[:-1, :-1]
+    same = same.reshape(3, -1)
+    # how far each kind of run goes on: the next place where it breaks
+    breaks = [np.append(np.flatnonzero(~s), s.size) for s in same]
+    out, at, flat = bytearray(), 0, ids.ravel()
+    while at < flat.size:
+        kind = next((k for k in range(3) if same[k, at]), 3)
+        if kind == 3:
+            out += bytes([3]) + varint(int(flat[at]))
+            at += 1
+            continue
+        end = int(breaks[kind][np.searchsorted(breaks[kind], at)])
+        out += bytes([kind]) + varint(end - at - 1)
+        at = end
+    return bytes(out)
+
+
+def read_palette_moves(data: bytes, w: int, h: int) -> np.ndarray:
+    ids, at, n = np.zeros(w * h, np.int64), 0, 0
+    while n < w * h:
+        if at >= len(data) or data[at] > 3:
+            raise BadFile("no such palette move")
+        kind = data[at]
+        value, at = read_varint(data, at + 1)
+        if kind == 3:
+            ids[n] = value
+            n += 1
+            continue
+        run = value + 1
+        places = np.arange(n, n + min(run, w * h + 1))
+        if run > w * h - n or (kind != 1 and (places % w == 0).any()) or (kind and n < w):
+            raise BadFile("a palette move has no source")
+        back = (1, w, w + 1)[kind]
+        for i in range(n, n + run, back):  # a source may lie in the run itself
+            part = min(back, n + run - i)
+            ids[i : i + part] = ids[i - back : i - back + part]
+        n += run
+    if at != len(data):
+        raise BadFile("bytes follow the palette moves")
+    return ids.reshape(h, w)
+
+
+def periodic(gray: np.ndarray, period: int) -> bytes:
+    """Rests of a plane with slopes along x and y and a pattern of period by period, commonest rest at each place."""
+    h, w = gray.shape
+    v = gray.astype(np.int64)
+    circle = lambda d: np.minimum(d & 255, 256 - (d & 255))
+
+    def slope(d: np.ndarray) -> int:
+        hist = np.bincount((d & 255).ravel(), minlength=256)
+        return int((circle(np.arange(256)[None] - np.arange(256)[:, None] * period) * hist).sum(1).argmin()) if d.size else 0
+
+    a, b = slope(v[:, period:] - v[:, :-period]), slope(v[period:] - v[:-period])
+    y, x = np.mgrid[:h, :w]
+    rest = (v - a * x - b * y) & 255
+    place = (y % period) * period + x % period
+    phase = np.bincount((place * 256 + rest).ravel(), minlength=256 * period * period).reshape(-1, 256).argmax(1)
+    return bytes([period, 0, a, b]) + phase.astype(np.uint8).tobytes() + ((rest - phase[place]) & 255).astype(np.uint8).tobytes()
+
+
+def read_periodic(data: bytes, w: int, h: int) -> np.ndarray:
+    if len(data) < 4 or data[0] not in (8, 16, 32) or data[1] not in (0, 8, 16):
+        raise BadFile("a periodic model's parameters are invalid")
+    p, block, a, b = data[:4]
+    across, down = (-(-w // block), -(-h // block)) if block else (0, 0)
+    if len(data) != 4 + p * p + across * down + w * h:
+        raise BadFile("a periodic model has another size")
+    phase = np.frombuffer(data[4 : 4 + p * p], np.uint8).astype(np.int64)
+    bases = np.frombuffer(data[4 + p * p : 4 + p * p + across * down], np.uint8)
+    body = np.frombuffer(data[4 + p * p + across * down :], np.uint8).astype(np.int64)
+    y, x = np.mgrid[:h, :w]
+    rest = body.reshape(h, w)
+    if block:  # rests stand block by block
+        rest, at = np.zeros((h, w), np.int64), 0
+        for i, base in enumerate(bases.tolist()):
+            view = rest[i // across * block :, i % across * block :][:block, :block]
+            view[:] = body[at : at + view.size].reshape(view.shape) + base
+            at += view.size
+    return ((rest + a * x + b * y + phase[(y % p) * p + x % p]) & 255).astype(np.uint8)
+
+
+def tiled(rgba: np.ndarray, height: int, mode: int = 0) -> tuple[int, bytes]:
+    """Channels and payload: bands of lines, each a native stream of its own."""
+    channels = {GRAY: 1, RGB: 3}.get(mode_of(rgba), 4)
+    parts = []
+    for y in range(0, len(rgba), height):
+        parts.append(native.encode(rgba[y : y + height], mode=mode, channels=channels))
+    return channels, struct.pack(f"<{1 + len(parts)}I", len(parts), *map(len, parts)) + b"".join(parts)
+
+
+def read_tiled(data: bytes, h: Header) -> np.ndarray:
+    count = int.from_bytes(data[:4], "little")
+    if count != -(-h.height // h.count) or count > 65_536 or len(data) < 4 + 4 * count:
+        raise BadFile("the tile table is invalid")
+    sizes, at, out = struct.unpack_from(f"<{count}I", data, 4), 4 + 4 * count, []
+    if at + sum(sizes) != len(data):
+        raise BadFile("tiles have another size")
+    for i, size in enumerate(sizes):
+        part = native.decode(data[at : at + size])
+        if part.shape[:2] != (min(h.count, h.height - i * h.count), h.width):
+            raise BadFile("a tile has other dimensions")
+        out.append(part)
+        at += size
+    return np.concatenate(out)
+
+
+def _as_stream(lines: bytes, width: int) -> bytes:
+    """Bytes as a gray native stream."""
+    gray = np.frombuffer(lines, np.uint8).reshape(-1, width)
+    return native.encode(np.dstack([gray, gray, gray, np.full_like(gray, 255)]))
+
+
+def _from_stream(data: bytes, width: int, height: int) -> bytes:
+    image = native.decode(data)
+    if image.shape[:2] != (height, width) or data[12] != 1:
+        raise BadFile("a stream has other dimensions")
+    return np.ascontiguousarray(image[..., 0]).tobytes()
+
+
 # ---------------------------------------------------------------- container
 
 
@@ -552,7 +482,7 @@ def header(data: bytes) -> Header:
     return Header(w, h, mode, transform, bits, codec & 3, count, size)
 
 
-def candidates(rgba: np.ndarray, families: tuple[str, ...] = ("raw", "rle", "filtered", "palette", "separable", "blocks", "native")) -> Iterator[tuple[str, bytes]]:
+def candidates(rgba: np.ndarray, families: tuple[str, ...] = ("raw", "rle", "filtered", "palette", "separable", "blocks", "periodic", "native")) -> Iterator[tuple[str, bytes]]:
     """Name and file of every way to store an image."""
     h, w = rgba.shape[:2]
     kind = mode_of(rgba)
@@ -579,6 +509,11 @@ def candidates(rgba: np.ndarray, families: tuple[str, ...] = ("raw", "rle", "fil
             yield "palette-runs", container(w, h, CPAL, RUNS, bits, len(colours), palette + runs)
             p = np.frombuffer(palette, np.uint8).reshape(-1, 4)
             delta = np.concatenate([p[:1], p[1:] - p[:-1]]).astype(np.uint8).tobytes()
+            yield "palette-moves", container(w, h, PPAL, RUNS, bits, len(colours), palette_moves(ids), palette)
+            if "streams" in families:
+                line = len(lines) // h
+                yield "palette-stream", container(w, h, PSTREAM, RAW, bits, len(colours), _as_stream(lines, line), palette)
+                yield "palette-filtered-stream", container(w, h, PSTREAM, PLAIN, bits, len(colours), _as_stream(filter_lines(np.frombuffer(lines, np.uint8).reshape(h, line), 1), line + 1), palette)
             yield "palette-delta", container(w, h, CPAL, PAL_DELTA, bits, len(colours), delta + runs)
     if "separable" in families:
         s = samples(rgba, kind)
@@ -589,8 +524,17 @@ def candidates(rgba: np.ndarray, families: tuple[str, ...] = ("raw", "rle", "fil
             yield "separable-delta", container(w, h, SEPARABLE, SEP_DELTA, kind, 0, steps[0].tobytes() + steps[1].tobytes())
     if "blocks" in families:
         yield "blocks", container(w, h, BLOCKS, PLAIN, 16, 0, encode_blocks(rgba))
+    if "periodic" in families and kind == GRAY and w * h <= 2_097_152:
+        for period in (8, 16, 32):
+            yield f"periodic-{period}", container(w, h, GMODEL, PLAIN, 0, 0, periodic(rgba[..., 0], period))
+    if "streams" in families:
+        s = samples(rgba, kind)
+        yield "filtered-stream", container(w, h, FILTERED, PLAIN, kind, 0, _as_stream(filter_lines(s.reshape(h, -1), s.shape[2]), s[0].size + 1))
+    if "tiles" in families:
+        channels, payload = tiled(rgba, TILE)
+        yield "tiles", container(w, h, TILES, PLAIN, channels, TILE, payload)
     if "native" in families:
-        yield "native", container(w, h, NATIVE, PLAIN, 0, 0, encode_native(rgba))
+        yield "native", container(w, h, NATIVE, PLAIN, 0, 0, native.encode(rgba))
 
 
 def encode(rgba: np.ndarray, families: tuple[str, ...] | None = None) -> tuple[str, bytes]:
@@ -608,7 +552,7 @@ def decode(data: bytes) -> np.ndarray:
     if len(payload) != h.payload:
         raise BadFile("the payload has another size")
     if h.mode == NATIVE:
-        out = decode_native(payload)
+        out = native.decode(payload)
         if out.shape[:2] != (h.height, h.width):
             raise BadFile("the native stream has other dimensions")
         return out
@@ -624,6 +568,24 @@ def decode(data: bytes) -> np.ndarray:
         return _looked_up(unpack_lines(rest, h.width, h.height, h.bits) if h.transform == RAW else unrle(rest, h.width * h.height, True).reshape(h.height, h.width), colours)
     if h.mode == SEPARABLE:
         return _separable(payload, h)
+    if h.mode == TILES:
+        return read_tiled(payload, h)
+    if h.mode == GMODEL:
+        gray = read_periodic(payload, h.width, h.height)
+        return unsamples(gray[..., None], GRAY)
+    if h.mode == PPAL:
+        return _looked_up(read_palette_moves(payload, h.width, h.height), np.frombuffer(palette, np.uint8).reshape(-1, 4))
+    if h.mode in (PSTREAM, FILTERED):
+        line = -(-h.width * h.bits // 8) if h.mode == PSTREAM else h.width * h.bits
+        step = h.bits if h.mode == FILTERED else 2 if h.bits == 16 else 1
+        if h.mode == PSTREAM and h.transform == RAW:
+            lines = _from_stream(payload, line, h.height)
+        else:
+            lines = unfilter_lines(_from_stream(payload, line + 1, h.height), line, h.height, step).tobytes()
+        if h.mode == PSTREAM:
+            return _looked_up(unpack_lines(lines, h.width, h.height, h.bits), np.frombuffer(palette, np.uint8).reshape(-1, 4))
+        anchor = 1 if h.transform in (GDELTA, GDELTA_RAW, GDELTA_RLE) else {RDELTA: 0, BDELTA: 2}.get(h.transform)
+        return unsamples(np.frombuffer(lines, np.uint8).reshape(h.height, h.width, h.bits), h.bits, anchor if h.bits >= RGB else None)
     if h.mode == PALETTE:
         line = -(-h.width * h.bits // 8)
         size, step = line * h.height, 2 if h.bits == 16 else 1

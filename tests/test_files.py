@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_codec import fill, noise, sequence
 
-from tessera.operators import codec
+from tessera.operators import codec, native
 from tessera.sources import files
 
 
@@ -35,7 +35,7 @@ def test_header_rules(spark):
 
 
 def test_native_headers(spark):
-    data = codec.encode_native(fill(30, 20, 2), 7, 3, 3)
+    data = native.encode(fill(30, 20, 2), 7, 3, 3)
     r = files.native_headers(table(spark, a=data)).first()
     assert (r.width, r.height, r.channels, r.mode, r.transform, r.tile_log, r.payload, r.is_gray, r.sample_bits) == (30, 20, 4, 3, 7, 3, len(data) - 30, False, 0)
 
