@@ -71,4 +71,4 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_near_duplicates": op10_near_duplicates,
 }
-ORACLES = {"op3_mixing": mixing.SQL, "op5_metric_tree": metric_tree.SQL, "op7_warc": warc.SQL}
+ORACLES = {"op1_repeats": repeats.sql(), "op3_mixing": mixing.SQL, "op5_metric_tree": metric_tree.SQL, "op6_quality_rules": quality_rules.sql(), "op7_warc": warc.SQL, "op10_near_duplicates": near_duplicates.sql(2)}

@@ -152,3 +152,38 @@ def judge(docs: DataFrame) -> DataFrame:
         inside &= F.coalesce((value >= F.col(f"{m}_low")) & (value <= F.col(f"{m}_high")), F.lit(True))
     joined = stats.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     return joined.select("doc_id", *(f.split()[0] for f in STATS.split(", ")), "base_failed", (~F.col("base_failed") & inside).alias("kept"))
+
+
+def sql() -> str:
+    """The same in SQL; windows of words are joined texts there, so it is for small tables."""
+    value = lambda e: e.replace(" div ", " // ")
+    bucket_ = lambda e: f"(CASE WHEN ({e}) < 64 THEN ({e}) ELSE (({e}) >> (length(bin({e})) - 6)) << (length(bin({e})) - 6) END)"
+    metrics = "\n    UNION ALL ".join(f"SELECT doc_id, lang, source, base_failed, '{m}' AS metric, {bucket_(value(e))} AS value FROM b" for m, (e, *_) in METRICS.items())
+    quartile = lambda by, name: (
+        f"{name} AS (SELECT {by}metric, max(size) AS size, min(value) FILTER (WHERE 4 * upto >= size) AS q1, min(value) FILTER (WHERE 4 * upto >= 3 * size) AS q3 FROM"
+        f" (SELECT {by}metric, value, sum(n) OVER (PARTITION BY {by}metric ORDER BY value) AS upto, sum(n) OVER (PARTITION BY {by}metric) AS size FROM"
+        f" (SELECT {by}metric, value, count(*) AS n FROM v WHERE NOT base_failed GROUP BY ALL)) GROUP BY ALL)"
+    )
+    fence = "CASE metric " + " ".join(f"WHEN '{m}' THEN value >= q1 - {lo} * greatest(q3 - q1, {least}) AND value <= q3 + {hi} * greatest(q3 - q1, {least})" for m, (_, lo, hi, least) in METRICS.items()) + " END"
+    pick = lambda c: f"CASE WHEN o.size >= {LEAST} THEN o.{c} WHEN l.size >= {LEAST} THEN l.{c} ELSE a.{c} END AS {c}"
+    run = " || chr(31) || ".join(f"w[i + {j}]" for j in range(8))
+    word = r"[^\x20\x09-\x0D]+"
+    return f"""
+WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{word}') AS w FROM documents),
+g AS (SELECT doc_id, i, {run} AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM t WHERE len(w) >= 8)),
+tw AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+rw AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM tw) GROUP BY doc_id),
+ln AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT x) AS d FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM t) WHERE regexp_matches(x, '{word}') GROUP BY doc_id),
+c AS (SELECT t.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, coalesce(ln.n, 0) AS n_lines, coalesce(ln.d, 0) AS n_dup_lines, coalesce(rw.n, 0) AS n_repeat_words
+    FROM t LEFT JOIN ln ON ln.doc_id = t.doc_id LEFT JOIN rw ON rw.doc_id = t.doc_id),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c),
+v AS ({metrics}),
+{quartile("lang, source, ", "own")},
+{quartile("lang, ", "tongue")},
+{quartile("", "every")},
+f AS (SELECT v.*, {pick("q1")}, {pick("q3")} FROM v LEFT JOIN own o ON o.lang IS NOT DISTINCT FROM v.lang AND o.source IS NOT DISTINCT FROM v.source AND o.metric = v.metric
+    LEFT JOIN tongue l ON l.lang IS NOT DISTINCT FROM v.lang AND l.metric = v.metric LEFT JOIN every a ON a.metric = v.metric),
+k AS (SELECT doc_id, bool_and({fence}) AS fine FROM f GROUP BY doc_id)
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(fine, true) AS kept FROM b JOIN k ON k.doc_id = b.doc_id
+"""

@@ -266,3 +266,19 @@ def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, end - first) for c in names), pa.array(n), pa.array(removed), pa.array(runs), kept.cast(pa.binary())], [*names, *new])
 
     return joined.mapInArrow(task, f"{schema}, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def sql(width: int = 400) -> str:
+    """The same in SQL over hexadecimal digits, for small tables with distinct doc_id."""
+    return f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, i, md5(substring(h, 2 * i + 1, {2 * width})) AS m FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - {width - 1}, 0))) AS i FROM d)),
+r AS (SELECT doc_id, i FROM p QUALIFY count(*) OVER (PARTITION BY m) > 1),
+n AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {width} THEN 0 ELSE 1 END AS new FROM r),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM n),
+s AS (SELECT doc_id, min(i) AS a, max(i) + {width} AS b FROM g GROUP BY doc_id, g),
+k AS (SELECT s.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substring(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || max(substring(h, 2 * last + 1)) AS kept
+    FROM (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before, max(b) OVER (PARTITION BY doc_id) AS last FROM s) s JOIN d ON d.doc_id = s.doc_id GROUP BY s.doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""

@@ -65,3 +65,16 @@ def test_every_stage(spark, tmp_path):
     want = Counter((r[0], zlib.crc32(np.array(ids, "<u4").tobytes()), len(ids)) for r in before for ids in [plain_ids(WORD_BPE, r[1], 2)] if len(ids) <= 4096)
     assert want == Counter((r[0], r[3], r[4]) for r in after)
     assert docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 4096").isEmpty()
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_rows(spark, tmp_path):
+    rows = [(None, None, None, None, None), (None, "a b c d e f", None, "s", 3), (1, "", "en", None, 0), (1, "same id " * 300, "en", "s", 9), (2, "é" * 30_000, "en", "s", 1), (2, "é" * 30_000, "en", "s", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, None), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert cp.run(spark, str(tmp_path)).count() > 0
