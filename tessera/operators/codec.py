@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from tessera.operators import native
+from tessera.operators import native, regions
 from tessera.operators.native import MAX_PIXELS, BadFile
 
 #: File marker, modes, transforms and frame kinds of the container.
@@ -524,6 +524,9 @@ def candidates(rgba: np.ndarray, families: tuple[str, ...] = ("raw", "rle", "fil
             yield "separable-delta", container(w, h, SEPARABLE, SEP_DELTA, kind, 0, steps[0].tobytes() + steps[1].tobytes())
     if "blocks" in families:
         yield "blocks", container(w, h, BLOCKS, PLAIN, 16, 0, encode_blocks(rgba))
+    if "regions" in families:
+        for layout, size in regions.SIZES.items():
+            yield layout.decode(), container(w, h, BLOCKS, PLAIN, size, 0, regions.encode(rgba, layout))
     if "periodic" in families and kind == GRAY and w * h <= 2_097_152:
         for period in (8, 16, 32):
             yield f"periodic-{period}", container(w, h, GMODEL, PLAIN, 0, 0, periodic(rgba[..., 0], period))
@@ -557,6 +560,10 @@ def decode(data: bytes) -> np.ndarray:
             raise BadFile("the native stream has other dimensions")
         return out
     if h.mode == BLOCKS:
+        if payload[:4] in regions.SIZES:
+            if regions.SIZES[payload[:4]] != h.bits:
+                raise BadFile("a region program has another block size")
+            return regions.decode(payload, h.width, h.height)
         return decode_blocks(payload, h.width, h.height)
     if h.mode == CPAL:
         colours, rest = np.frombuffer(payload[: 4 * h.count], np.uint8), payload[4 * h.count :]

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tessera.operators import codec, native
+from tessera.operators import codec, native, regions
 
 
 def fill(w, h, seed):
@@ -159,3 +159,45 @@ def test_depth_grids():
         assert native.grid_depth(image[..., :3]) <= bits
         data = native.encode(image, reduce=True)
         assert data[13] >> 2 == native.grid_depth(image[..., :3]) and np.array_equal(native.decode(data), image)
+
+
+def mixture_image():
+    y, x = np.mgrid[:20, :70]
+    v = np.stack([3 * x + 2 * y, (x // 9) * 30 + y, 255 - 2 * x, np.full_like(x, 255)], 2)
+    return (v & 255).astype(np.uint8)
+
+
+@pytest.mark.parametrize("layout", regions.SIZES)
+def test_region_programs(layout):
+    for image in (mixture_image(), fill(18, 17, 5), noise(16, 3)[..., :1].repeat(4, 2), fill(1, 1, 0), fill(1, 20, 2), fill(20, 1, 2)):
+        data = codec.container(image.shape[1], image.shape[0], codec.BLOCKS, 0, regions.SIZES[layout], 0, regions.encode(image, layout))
+        assert np.array_equal(codec.decode(data), image)
+    data = regions.encode(mixture_image(), layout)
+    assert len(data) < 20 * 70 * 3
+    for i in range(20):
+        with pytest.raises(regions.BadFile):
+            regions.decode(data[:i] + bytes([data[i] ^ 1]) + data[i + 1 :], 70, 20)
+
+
+def test_region_operations_are_all_read():
+    """Every operation and coordinate, chosen at random, against residuals made for it."""
+    rng, image = np.random.default_rng(5), mixture_image()
+    planes = [image[..., c].astype(int).tolist() for c in range(3)]
+    table, rest = bytearray(), np.zeros((20, 70, 3), int)
+    seen = set()
+    for y0 in range(0, 20, 16):
+        for x0 in range(0, 70, 16):
+            w, h = min(16, 70 - x0), min(16, 20 - y0)
+            op = int(rng.choice([o for o in range(7) if not (o == regions.LEFT and x0 < 16) and not (o == regions.UP and y0 < 16)]))
+            params = rng.integers(0, 256, regions.parameters(op, 3)).astype(np.uint8).tobytes()
+            seen.add(op)
+            table += bytes([op]) + params
+            for c in range(3):
+                guess = regions.predictor(b"QBL2", op, params, planes, c, x0, y0, w, h)
+                for y in range(y0, y0 + h):
+                    for x in range(x0, x0 + w):
+                        rest[y, x, c] = planes[c][y][x] - guess(x, y)
+    folded = np.dstack([regions.fold(rest), np.full((20, 70), 255)]).astype(np.uint8)
+    stream = native.encode(folded, channels=3)
+    data = b"QBL2" + bytes([16, 3, 0, 0]) + len(table).to_bytes(4, "little") + len(stream).to_bytes(8, "little") + bytes(table) + stream
+    assert len(seen) > 4 and np.array_equal(regions.decode(data, 70, 20), image)
