@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from tessera.operators import native, regions
+from tessera.operators import native, regions, tile_models
 from tessera.operators.native import MAX_PIXELS, BadFile
 
 #: File marker, modes, transforms and frame kinds of the container.
@@ -536,6 +536,9 @@ def candidates(rgba: np.ndarray, families: tuple[str, ...] = ("raw", "rle", "fil
     if "tiles" in families:
         channels, payload = tiled(rgba, TILE)
         yield "tiles", container(w, h, TILES, PLAIN, channels, TILE, payload)
+    if "tile-models" in families:
+        channels = {GRAY: 1, RGB: 3}.get(kind, 4)
+        yield "tile-models", container(w, h, TILE_MODEL, PLAIN, channels, TILE, tile_models.encode(rgba[..., :channels], TILE, filter_lines))
     if "native" in families:
         yield "native", container(w, h, NATIVE, PLAIN, 0, 0, native.encode(rgba))
 
@@ -577,6 +580,9 @@ def decode(data: bytes) -> np.ndarray:
         return _separable(payload, h)
     if h.mode == TILES:
         return read_tiled(payload, h)
+    if h.mode == TILE_MODEL:
+        s = tile_models.decode(payload, h.width, h.height, h.count, h.bits, unfilter_lines)
+        return unsamples(s, h.bits)
     if h.mode == GMODEL:
         gray = read_periodic(payload, h.width, h.height)
         return unsamples(gray[..., None], GRAY)

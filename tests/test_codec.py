@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tessera.operators import codec, native, regions
+from tessera.operators import codec, native, regions, tile_models
 
 
 def fill(w, h, seed):
@@ -201,3 +201,22 @@ def test_region_operations_are_all_read():
     stream = native.encode(folded, channels=3)
     data = b"QBL2" + bytes([16, 3, 0, 0]) + len(table).to_bytes(4, "little") + len(stream).to_bytes(8, "little") + bytes(table) + stream
     assert len(seen) > 4 and np.array_equal(regions.decode(data, 70, 20), image)
+
+
+@pytest.mark.parametrize("model", range(9))
+def test_tile_models(model):
+    for image in (mixture_image()[..., :3], fill(9, 13, 4), fill(1, 1, 0), fill(1, 9, 2)[..., :1], fill(12, 1, 2)):
+        h, w, channels = image.shape
+        kind, data = tile_models.encode_tile(image, codec.filter_lines, (model,))
+        assert kind == model and np.array_equal(tile_models.decode_tile(model, data, w, h, channels, codec.unfilter_lines), image)
+
+
+def test_tile_models_in_bands(monkeypatch):
+    monkeypatch.setattr(codec, "TILE", 7)
+    for image in (mixture_image(), fill(11, 15, 3), np.repeat(noise(9, 10, 2, 16)[..., :1], 4, 2)):
+        data = dict(codec.candidates(image, ("tile-models",)))["tile-models"]
+        assert np.array_equal(codec.decode(data), image)
+    plane = (np.mgrid[:20, :30][1] * 8)[..., None].repeat(4, 2).astype(np.uint8)
+    plane[..., 3] = 255
+    least = {m: len(tile_models.encode_tile(plane[..., :1], codec.filter_lines, (m,))[1]) for m in range(9)}
+    assert len(tile_models.encode_tile(plane[..., :1], codec.filter_lines)[1]) == min(least.values())
