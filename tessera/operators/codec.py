@@ -642,8 +642,54 @@ def _separable(payload: bytes, h: Header) -> np.ndarray:
 # ---------------------------------------------------------------- animation
 
 
+def find_move(old: np.ndarray, new: np.ndarray, box: tuple[int, int, int, int], least: int = 4) -> tuple[int, ...] | None:
+    """source x and y, target x and y, width, height and colour (little-endian) of a move that alone makes the new frame of the old, or None. Places vote with patches of
+    two by two pixels that the old frame's box holds once; the rectangle is what the winning shifts explain."""
+    y0, x0, y1, x1 = box
+    if not 64 <= (y1 - y0) * (x1 - x0) <= 262_144 or y1 - y0 < 2 or x1 - x0 < 2:
+        return None
+    packed = [np.ascontiguousarray(f).view("<u4")[..., 0].astype(np.uint64) for f in (old, new)]
+    patches = [f[y0 : y1 - 1, x0 : x1 - 1] * np.uint64(0x9E3779B97F4A7C15) ^ f[y0 : y1 - 1, x0 + 1 : x1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ f[y0 + 1 : y1, x0 : x1 - 1] * np.uint64(0x165667B19E3779F9) ^ f[y0 + 1 : y1, x0 + 1 : x1] * np.uint64(0x27D4EB2F165667C5) for f in packed]
+    keys, first, count = np.unique(patches[0], return_index=True, return_counts=True)
+    keys, first = keys[count == 1], first[count == 1]
+    if not len(keys):
+        return None
+    ys, xs = np.nonzero((packed[0] != packed[1])[y0 : y1 - 1, x0 : x1 - 1])
+    want = patches[1][ys, xs]
+    at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+    hit = keys[at] == want
+    sy, sx = np.divmod(first[at[hit]], x1 - x0 - 1)
+    shifts, votes = np.unique(np.stack([ys[hit] - sy, xs[hit] - sx], 1), axis=0, return_counts=True)
+    h, w = new.shape[:2]
+    for i in np.argsort(-votes, kind="stable")[:16]:
+        dy, dx = (int(v) for v in shifts[i])
+        if votes[i] < least or not (dy or dx):
+            continue
+        moved = np.zeros((h, w), bool)  # changed places that the shift explains
+        a, b, c, d = max(dy, 0), h + min(dy, 0), max(dx, 0), w + min(dx, 0)
+        moved[a:b, c:d] = packed[1][a:b, c:d] == packed[0][a - dy : b - dy, c - dx : d - dx]
+        ys2, xs2 = np.nonzero(moved & (packed[0] != packed[1]))
+        if not len(ys2):
+            continue
+        ty, tx, mh, mw = int(ys2.min()), int(xs2.min()), int(np.ptp(ys2)) + 1, int(np.ptp(xs2)) + 1
+        by, bx = ty - dy, tx - dx
+        if by < 0 or bx < 0 or by + mh > h or bx + mw > w:
+            continue
+        left = np.ones((h, w), bool)
+        left[ty : ty + mh, tx : tx + mw] = False
+        bared = new[by : by + mh, bx : bx + mw][left[by : by + mh, bx : bx + mw]]
+        if not len(bared):
+            continue
+        made = old.copy()
+        made[by : by + mh, bx : bx + mw] = bared[0]
+        made[ty : ty + mh, tx : tx + mw] = old[by : by + mh, bx : bx + mw]
+        if np.array_equal(made, new):
+            return bx, by, tx, ty, mw, mh, int.from_bytes(bared[0].tobytes(), "little")
+    return None
+
+
 def encode_animation(frames: list[np.ndarray], delays: list[int], loop: int, families: tuple[str, ...] | None = None) -> bytes:
-    """Key frames, duplicates and rectangles of at most half a frame; a rectangle gives way to a key frame that is smaller."""
+    """Key frames, duplicates, moves and rectangles of at most half a frame; a rectangle gives way to a key frame that is smaller."""
     h, w = frames[0].shape[:2]
     out, last_key = [b"QAN2", struct.pack("<II", len(frames), loop)], None
     for i, (frame, delay) in enumerate(zip(frames, delays)):
@@ -653,6 +699,9 @@ def encode_animation(frames: list[np.ndarray], delays: list[int], loop: int, fam
             continue
         if i:
             (y0, x0), (y1, x1) = changed.min(0), changed.max(0) + 1
+            if move := find_move(frames[i - 1], frame, (y0, x0, y1, x1)):
+                out.append(lead + struct.pack("<8I", MOVE, *move))
+                continue
             if 2 * (y1 - y0) * (x1 - x0) <= w * h:
                 part = encode(frame[y0:y1, x0:x1], families)[1]
                 if len(part) + 16 < last_key or len(part) + 16 <= len(encode(frame, families)[1]):

@@ -114,7 +114,7 @@ def test_random_bytes_do_not_crash_kernels():
                 pass
 
 
-MODES = [m for m in range(41) if native.known(m)]
+MODES = [m for m in range(55) if native.known(m)]
 
 
 @pytest.mark.parametrize("mode", MODES)
@@ -151,6 +151,32 @@ def test_native_damage_is_told():
             native.decode(junk)
 
 
+def test_bands_stand_alone():
+    image = noise(6, 300, 8, 16)
+    for picture in (image, np.repeat(image[..., :1], 4, 2), np.dstack([image[..., :3], np.full((300, 6), 9, np.uint8)])):
+        assert np.array_equal(native.decode(native.encode(picture, 9, 3, 42)), picture)
+
+
+def test_contexts_pay():
+    """Planes that are rough in the same places: states of the plane before tell where."""
+    rng = np.random.default_rng(4)
+    rough = (rng.random((60, 60)) < 0.1) * rng.integers(-40, 40, (60, 60))
+    image = np.stack([100 + rough, 120 + rough, 140 - rough, np.full((60, 60), 255)], 2).astype(np.uint8)
+    sizes = {m: len(native.encode(image, 0, 0, m)) for m in (0, 37, 45, 52, 53)}
+    assert max(sizes[m] for m in (45, 52, 53)) < min(sizes[0], sizes[37])
+
+
+def test_weighted_predictor_follows_a_slope():
+    guess, wrong = native.WeightedPredictor(20), []
+    plane = [[3 * x + 2 * y for x in range(20)] for y in range(20)]
+    for y in range(20):
+        for x in range(20):
+            W, N, NW, NE, _, NN = native.around(plane, y, x, 128)
+            wrong.append(abs(guess(x, y, W, N, NW, NE, NN) - plane[y][x]))
+            guess.update(x, y, plane[y][x])
+    assert sum(wrong[200:]) / 200 < 2
+
+
 def test_depth_grids():
     for bits in range(1, 8):
         m = (1 << bits) - 1
@@ -220,3 +246,34 @@ def test_tile_models_in_bands(monkeypatch):
     plane[..., 3] = 255
     least = {m: len(tile_models.encode_tile(plane[..., :1], codec.filter_lines, (m,))[1]) for m in range(9)}
     assert len(tile_models.encode_tile(plane[..., :1], codec.filter_lines)[1]) == min(least.values())
+
+
+def frame_kinds(data):
+    payload, at, kinds = data[28:-4], 12, []
+    for _ in range(int.from_bytes(payload[4:8], "little")):
+        kind = int.from_bytes(payload[at + 4 : at + 8], "little")
+        kinds.append(kind)
+        at += 8
+        if kind == codec.MOVE:
+            at += 28
+        elif kind != codec.DUPLICATE:
+            at += 16 * (kind == codec.RECTANGLE)
+            at += 8 + int.from_bytes(payload[at : at + 8], "little")
+    return kinds
+
+
+@pytest.mark.parametrize("shift", [(42, 34), (5, 3), (-7, 0), (0, 9)])
+def test_a_moved_sprite_is_a_move(shift):
+    sprite = noise(24, 20, 9)
+    frames = []
+    for x, y in ((31, 33), (31 + shift[0], 33 + shift[1])):
+        frame = np.full((96, 128, 4), (18, 24, 31, 255), np.uint8)
+        frame[y : y + 20, x : x + 24] = sprite
+        frames.append(frame)
+    data = codec.encode_animation(frames, [17, 29], 0, ("palette", "raw"))
+    assert frame_kinds(data) == [codec.KEY, codec.MOVE]
+    got, delays, _ = codec.decode_animation(data)
+    assert all(map(np.array_equal, got, frames)) and delays == [17, 29]
+    frames[1][90, 3] = 1
+    data = codec.encode_animation(frames, [17, 29], 0, ("palette", "raw"))
+    assert codec.MOVE not in frame_kinds(data) and all(map(np.array_equal, codec.decode_animation(data)[0], frames))
