@@ -60,23 +60,52 @@ def test_token_files_round_trip(spark):
     assert token_files.read_ids(token_files.write_ids(docs(spark).limit(0), BYTE, 0)).count() == 0
 
 
-def test_packing_covers_every_id_once(spark):
+@pytest.mark.parametrize("together", [8 << 20, 300])
+def test_packing_covers_every_id_once(spark, monkeypatch, together):
+    monkeypatch.setattr(packing, "TOGETHER", together)
     got = packing.pack(docs(spark), WORD, 2, 64).collect()
     assert packing.pack(docs(spark).limit(0), WORD, 2).count() == 0
     by_doc, by_sequence = {}, {}
     for r in got:
         by_doc.setdefault(r.doc_id, []).append(r)
         by_sequence.setdefault(r.sequence_id, []).append(r)
+    padded = 0
     for rows in by_sequence.values():
         at = 0
         for r in sorted(rows, key=lambda r: r.offset):
             assert r.offset == at and r.length > 0
             at += r.length
         assert at <= 64
-    want = [(r.doc_id, plain(WORD, r.text, 2)) for r in docs(spark).collect()]
-    crcs = sorted((d, i, zlib.crc32(np.array(ids[i : i + 64], "<u4").tobytes()), len(ids)) for d, ids in want if d is not None for i in range(0, len(ids), 64))
-    assert crcs == sorted((r.doc_id, r.start, r.ids_crc32, r.doc_tokens) for r in got if r.doc_id is not None)
-    assert sum(r.length for r in by_doc[None]) == sum(len(ids) for d, ids in want if d is None)
+        padded += 64 - at if at & (at - 1) else 0
+    assert padded < sum(r.length for r in got) / 16
+    want = {}
+    for r in docs(spark).collect():
+        want.setdefault(r.doc_id, []).append(plain(WORD, r.text, 2))
+    assert sum(r.length for r in by_doc[None]) == sum(map(len, want[None])) and sum(r.length for r in by_doc[14]) == sum(map(len, want[14]))
+    for key, texts in want.items():
+        if len(texts) > 1:
+            continue
+        at, ids = 0, texts[0]
+        for r in sorted(by_doc[key], key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids)
+            assert r.ids_crc32 == zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes())
+            at += r.length
+        assert at == len(ids)
+
+
+def test_emptier_windows_become_powers_of_two():
+    rng = np.random.default_rng(8)
+    for lengths in (rng.integers(33, 60, 40), np.full(9, 37), np.array([1]), rng.integers(1, 65, 200)):
+        window, offset, used = packing.best_fit_decreasing(lengths, 64)
+        parts, now = packing.divided(window, offset, lengths, used, 64)
+        fill = np.zeros(now, int)
+        for i, first, n, w, at in sorted(parts, key=lambda p: (p[3], p[4])):
+            assert fill[w] == at and n > 0
+            fill[w] += n
+        assert all(f >= 60 or f & (f - 1) == 0 for f in fill.tolist()) and fill.min() > 0
+        for i, n in enumerate(lengths):
+            own = sorted((p[1], p[2]) for p in parts if p[0] == i)
+            assert sum(k for _, k in own) == n and all(a + b == c for (a, b), (c, _) in zip(own, own[1:]))
 
 
 def test_best_fit_decreasing_takes_the_tightest_window():
