@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -21,11 +23,13 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as a URI.
 
     It is what ``spark.checkpoint.dir`` names. Only where that is unset (tests,
-    local mode) a temporary folder is made and set for the session.
+    local mode) a temporary folder is made and set for the session, and removed at exit.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        own = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        base = "file://" + own
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
     return base if "://" in base else "file://" + base.removeprefix("file:")
