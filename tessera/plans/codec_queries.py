@@ -47,6 +47,12 @@ def candidate_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.winners(files.all_candidates(_images(spark, sf_dir, 6)))
 
 
+def native_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each mode, transform and tile size makes the smallest native stream."""
+    best = files.winners(files.native_trials(_images(spark, sf_dir, 4)))
+    return best.groupBy("kind").agg(F.count("*").alias("images"), F.sum("bytes").alias("bytes"))
+
+
 def roundtrip_anim(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = raster.rgba(spark, sf_dir, 6).withColumn("frame", F.expr(f"y div {HEIGHT}")).filter(F.expr(f"y < {HEIGHT} * 8"))
     still = "CASE WHEN frame % 4 = 3 OR (y % 32 < 20) THEN transform({c}, v -> 1) ELSE {c} END"
@@ -67,7 +73,7 @@ def picture_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "header_scan": header_scan, "crc_check": crc_check, "candidate_sizes": candidate_sizes, "roundtrip_raw": _round_trip(("raw", "rle", "filtered"), 0),
+    "header_scan": header_scan, "crc_check": crc_check, "candidate_sizes": candidate_sizes, "native_trials": native_trials, "roundtrip_raw": _round_trip(("raw", "rle", "filtered"), 0),
     "roundtrip_palette": _round_trip(("palette",), 6), "roundtrip_blocks": _round_trip(("blocks",), 7), "roundtrip_native": _round_trip(("native",), 0),
     "roundtrip_anim": roundtrip_anim, "picture_formats": picture_formats,
 }

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import codec
+from tessera.operators import codec, native
 
 #: First bytes of formats; in their order, so that a longer mark comes first.
 MARKS = [("png", 1, "89504E470D0A1A0A"), ("container", 1, "514C4943"), ("jxl", 1, "0000000C4A584C20"), ("jxl", 1, "FF0A"), ("jpeg", 1, "FFD8FF"), ("tiff", 1, "49492A00"), ("tiff", 1, "4D4D002A"), ("tiff", 1, "49492B00"), ("bmp", 1, "424D"), ("gif", 1, "47494638")]
@@ -120,6 +120,30 @@ def all_candidates(images: DataFrame) -> DataFrame:
     return images.select(F.col("image_id").cast("string").alias("image_id"), "width", "height", "rgba").mapInPandas(task, "image_id string, place int, kind string, bytes long")
 
 
+#: Mode, transform, tile size (as a power of two) that native trials try, in the order that settles ties.
+TRIALS = [(0, 2, 0), (3, 9, 3), (27, 5, 3), (36, 5, 4), (38, 2, 0), (39, 1, 0), (40, 0, 0), (1, 0, 0), (37, 9, 3), (45, 5, 0), (53, 5, 3)]
+
+
+def native_trials(images: DataFrame, trials: list[tuple[int, int, int]] | None = None) -> DataFrame:
+    """image_id, place, kind (mode/transform/tile) and bytes: every image under every trial, each a row and so a unit of work of its own. Trials
+    that don't suit an image have no row. `winners` gives the smallest."""
+    table = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(m).alias("mode"), F.lit(t).alias("transform"), F.lit(log).alias("tile")) for i, (m, t, log) in enumerate(trials or TRIALS)))
+    rows = images.select(F.col("image_id").cast("string").alias("image_id"), "width", "height", "rgba", F.explode(table).alias("t")).select("image_id", "width", "height", "rgba", "t.*")
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for name, w, h, p, place, mode, transform, tile in b.itertuples(index=False):
+                try:
+                    size = len(native.encode(np.frombuffer(p, np.uint8).reshape(h, w, 4), transform, tile, mode, reduce=True))
+                except codec.BadFile:
+                    continue
+                out.append((name, place, f"{mode}/{transform}/{tile}", size))
+            yield pd.DataFrame(out, columns=["image_id", "place", "kind", "bytes"])
+
+    return rows.repartition(F.col("image_id"), F.col("place")).mapInPandas(task, "image_id string, place int, kind string, bytes long")
+
+
 def winners(candidates: DataFrame) -> DataFrame:
     """The smallest candidate of each image, the first of equals."""
     return candidates.groupBy("image_id").agg(F.min(F.struct("bytes", "place", "kind")).alias("m")).select("image_id", F.col("m.kind").alias("kind"), F.col("m.bytes").alias("bytes"))

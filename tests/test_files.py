@@ -109,3 +109,17 @@ def test_sequences_by_key(spark):
     back = {(r.anim, r.frame): (bytes(r.rgba), r.delay) for r in files.decoded_sequences(files.encoded_sequences(table_)).collect()}
     assert back == {(r[0], r[1]): (bytes(r[4]), r[5] or 100) for r in rows}
     assert table_.filter(F.col("anim") > 5).count() == 0
+
+
+def test_native_trials_find_the_smallest(spark):
+    pictures = {"a": fill(20, 15, 3), "b": noise(18, 12, 3, 128)}
+    images = spark.createDataFrame([(k, p.shape[1], p.shape[0], bytearray(p.tobytes())) for k, p in pictures.items()], "image_id string, width int, height int, rgba binary")
+    best = {r.image_id: r.bytes for r in files.winners(files.native_trials(images)).collect()}
+    for k, p in pictures.items():
+        sizes = []
+        for mode, transform, tile in files.TRIALS:
+            try:
+                sizes.append(len(native.encode(p, transform, tile, mode, reduce=True)))
+            except codec.BadFile:
+                continue
+        assert best[k] == min(sizes)
