@@ -8,8 +8,10 @@ at most 2 * (1 - s ** ROWS) ** BANDS, which is 9e-5 at s = 0.8 and 3e-6 at 0.85.
 Equal sets are one class from the start. Classes that share a table are joined to the table's smallest class, not to each other;
 what hangs together is a family, so every link that tables can show lies within one. Inside a family, links are confirmed on
 full sets without making pairs into rows: a task keeps the classes it has already connected, and compares only across
-them. A family of more than `SHINGLES` shingles is dealt into blocks, and every two blocks meet in a task, so that no task's size
-depends on the family's.
+them. A family of more than `SHINGLES` shingles is too large for one task. Its classes are first compared to one hub each, in
+parts, which for a group of copies connects nearly all. Those outside the largest component that this gives, the strays, then meet the
+whole family, block by block; two classes that are both in that component need no link. So work grows with the strays times the
+family, not with its square, no task's size depends on it, and no link is lost.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words as ww
@@ -26,8 +28,8 @@ from tessera.llm.common import written
 from tessera.llm.graph import components
 
 ROWS, BANDS = 3, 14
-#: Shingles of a family (or of two blocks) in one task, about.
-SHINGLES = 2_000_000
+#: Shingles of a family (or of a block of strays and one of the family) in one task, about.
+SHINGLES = 500_000
 U64 = ww.U64
 
 
@@ -109,26 +111,32 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
     return keys.join(hubs, "key").filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
 
 
-def link(sets: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
-    """For each set the first of those that links of at least `percent` similarity connect it to."""
+def link(sets: np.ndarray, at: np.ndarray, percent: int, comp: np.ndarray | None = None, ask: np.ndarray | None = None) -> np.ndarray:
+    """For each set the first of those that links of at least `percent` similarity connect it to.
+
+    comp: numbers of sets that are connected already; ask: which sets to compare with all others (all, if none is given)."""
     n = np.diff(at)
     order = np.argsort(n, kind="stable")  # by size, so that sets of fitting size stand together
     code = np.unique(sets, return_inverse=True)[1]
     parts = [code[at[i] : at[i + 1]] for i in order.tolist()]
     flat, size = np.concatenate(parts), n[order]
     place = np.concatenate([[0], np.cumsum(size)])
-    comp = np.arange(len(n))
+    comp = np.arange(len(n)) if comp is None else np.unique(comp, return_inverse=True)[1][order]
+    every = ask is None
+    asked = np.arange(len(n)) if every else np.flatnonzero(ask[order])
     mark = np.zeros(int(code.max()) + 1, bool)
     high = np.searchsorted(size * percent, size * 100, "right")
-    for u in range(len(n) - 1):
-        others = np.arange(u + 1, high[u])
+    low = np.searchsorted(size * 100, size * percent, "left")
+    for u in asked.tolist():
+        first = u + 1 if every else int(low[u])
+        others = np.arange(first, high[u])
         others = others[comp[others] != comp[u]]
         if not len(others):
             continue
         mark[parts[u]] = True
-        if 3 * len(others) > high[u] - u:
-            whole = flat[place[u + 1] : place[high[u]]]
-            common = np.add.reduceat(mark[whole].astype(np.int64), place[u + 1 : high[u]] - place[u + 1])[others - u - 1]
+        if 3 * len(others) > high[u] - first:
+            whole = flat[place[first] : place[high[u]]]
+            common = np.add.reduceat(mark[whole].astype(np.int64), place[first : high[u]] - place[first])[others - first]
         else:
             lengths = size[others]
             common = np.add.reduceat(mark[np.concatenate([parts[v] for v in others.tolist()])].astype(np.int64), np.cumsum(lengths) - lengths)
@@ -143,35 +151,73 @@ def link(sets: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
     return least[out]
 
 
-def confirmed_edges(members: DataFrame, k: int, percent: int) -> DataFrame:
-    """members: family, i, j (a task's two blocks), rep and text. Edges (a, b) that connect what links connect."""
+TASK = ["family", "i", "j", "rep", "comp", "ask"]
+
+
+def confirmed_edges(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
+    """members: the columns of TASK, a row for each class in a task (family, i, j). Edges (a, b) that connect what links to the asking classes
+    connect, beyond what equal `comp` already does. docs: doc_id and text."""
 
-    def solve(reps: list[int], texts: list[pa.Array]) -> pa.RecordBatch:
+    def solve(rows: dict[str, list], texts: list[pa.Array]) -> pa.RecordBatch:
         sets, ends = [], [np.zeros(1, np.int64)]
         for _, _, buf, off in ww.blocks(pa.concat_arrays(texts)):
             part, at = shingle_sets(buf, off, k)
             sets.append(part)
             ends.append(at[1:] + ends[-1][-1])
-        ids = np.array(reps, np.int64)
-        to = ids[link(np.concatenate(sets), np.concatenate(ends), percent)]
+        ids, ask = np.array(rows["rep"], np.int64), np.array(rows["ask"], bool)
+        to = ids[link(np.concatenate(sets), np.concatenate(ends), percent, np.array(rows["comp"], np.int64), None if ask.all() else ask)]
         return pa.RecordBatch.from_arrays([pa.array(ids[ids != to]), pa.array(to[ids != to])], ["a", "b"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, reps, texts = None, [], []
+        key, rows, texts = None, {c: [] for c in TASK[3:]}, []
         for batch in batches:
-            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("family", "i", "j")], 1)
+            keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in TASK[:3]], 1)
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
             for a, b in zip(cuts[:-1], cuts[1:]):
                 if b > a and (now := tuple(keys[a].tolist())) != key:
-                    if len(reps) > 1:
-                        yield solve(reps, texts)
-                    key, reps, texts = now, [], []
-                reps += batch.column("rep").slice(a, b - a).to_pylist()
+                    if len(rows["rep"]) > 1:
+                        yield solve(rows, texts)
+                    key, rows, texts = now, {c: [] for c in TASK[3:]}, []
+                for c in TASK[3:]:
+                    rows[c] += batch.column(c).slice(a, b - a).to_pylist()
                 texts.append(batch.column("text").slice(a, b - a))
-        if len(reps) > 1:
-            yield solve(reps, texts)
+        if len(rows["rep"]) > 1:
+            yield solve(rows, texts)
+
+    tasks = members.groupBy("rep").agg(F.collect_list(F.struct(*TASK[:3], *TASK[4:])).alias("tasks"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(tasks, "rep")
+    rows = texts.select("rep", "text", F.explode("tasks").alias("t")).select("t.family", "t.i", "t.j", "rep", "t.comp", "t.ask", "text")
+    return rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "rep").mapInArrow(task, "a long, b long")
+
+
+def _spread(column: str, n: Column | str) -> Column:
+    return F.pmod(F.xxhash64(column), n).cast("long")
+
+
+def _upto(n: str) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col(n), F.lit(1)) - 1))
+
 
-    return members.select("family", "i", "j", "rep", "text").mapInArrow(task, "a long, b long")
+def large_family_tasks(docs: DataFrame, members: DataFrame, edges: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """members: family, rep, n_shingles of families too large for a task. Links of classes to one hub each, and the tasks for the strays."""
+    share = lambda c: F.ceil(F.coalesce(F.sum(c), F.lit(0)) * 2 / SHINGLES).cast("long")
+    hubs = edges.groupBy(F.col("a").alias("rep")).agg(F.min("b").alias("hub"))
+    star = members.join(hubs, "rep")
+    parts = star.groupBy("hub").agg(share("n_shingles").alias("parts"))
+    zero, own = F.lit(-1).cast("long").alias("j"), F.col("rep").alias("comp")
+    asking = parts.select(F.col("hub").alias("family"), _upto("parts").alias("i"), zero, F.col("hub").alias("rep"), F.col("hub").alias("comp"), F.lit(True).alias("ask"))
+    asked = star.join(parts, "hub").select(F.col("hub").alias("family"), _spread("rep", F.greatest("parts", F.lit(1))).alias("i"), zero, "rep", own, F.lit(False).alias("ask"))
+    linked = written(confirmed_edges(docs, asking.unionByName(asked), k, percent), "star-links")
+    labels = components(linked).select(F.col("node").alias("rep"), "component")
+    members = written(members.join(labels, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component"), "large-families")
+    sizes = members.groupBy("family", "comp").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("family").agg(F.max(F.struct("n", "comp")).alias("m")).select("family", F.col("m.comp").alias("main"))
+    members = members.join(main, "family").withColumn("stray", F.col("comp") != F.col("main"))
+    blocks = members.groupBy("family").agg(share("n_shingles").alias("blocks"), share(F.when(F.col("stray"), F.col("n_shingles"))).alias("strays"))
+    members = members.join(blocks.filter("strays > 0"), "family")
+    whole = members.select("family", _upto("strays").alias("i"), _spread("rep", F.greatest("blocks", F.lit(1))).alias("j"), "rep", "comp", F.lit(False).alias("ask"))
+    strays = members.filter("stray").select("family", _spread("rep", "strays").alias("i"), _upto("blocks").alias("j"), "rep", "comp", F.lit(True).alias("ask"))
+    return linked, whole.unionByName(strays)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -189,18 +235,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classes = full.groupBy(*same).agg(F.min(F.struct("doc_id", "left", "right")).alias("m"))
     classes = written(classes.select(*same, F.col("m.doc_id").alias("rep"), "m.left", "m.right"), "classes")
     of = written(full.select("doc_id", *same).join(classes.select(*same, "rep"), same).select("doc_id", "rep", "n_shingles"), "class-of")
-    families = components(candidate_edges(classes))
+    edges = written(candidate_edges(classes), "candidates")
+    families = components(edges)
     member = classes.select("rep", "n_shingles").join(families, F.col("rep") == F.col("node")).select("rep", F.col("component").alias("family"), "n_shingles")
-    total = F.sum("n_shingles").alias("total")
-    blocks = member.groupBy("family").agg(total).withColumn("blocks", F.when(F.col("total") <= SHINGLES, 1).otherwise(F.ceil(F.col("total") * 2 / SHINGLES)).cast("long"))
-    member = member.join(blocks, "family").withColumn("mine", F.pmod(F.xxhash64("rep"), "blocks"))
-    every = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("blocks") - 1, F.lit(0))), lambda x: F.struct(F.least(x, "mine").alias("i"), F.greatest(x, "mine").alias("j")))
-    every = F.filter(every, lambda p: (p["i"] < p["j"]) | (F.col("blocks") == 1))
-    member = written(member.select("family", "rep", "blocks", every.alias("tasks")), "members")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(member, "rep")
-    tasks = texts.select("family", "rep", "text", F.explode("tasks").alias("t")).select("family", "rep", "text", "t.i", "t.j")
-    placed = tasks.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "rep")
-    linked = written(confirmed_edges(placed, words, percent), "links")
+    total = member.groupBy("family").agg(F.sum("n_shingles").alias("total"))
+    member = written(member.join(total, "family"), "members")
+    zero = F.lit(0).cast("long")
+    tasks = member.filter(F.col("total") <= SHINGLES).select("family", zero.alias("i"), zero.alias("j"), "rep", F.col("rep").alias("comp"), F.lit(True).alias("ask"))
+    large, stars = member.filter(F.col("total") > SHINGLES).drop("total"), None
+    if not large.isEmpty():
+        stars, more = large_family_tasks(docs, large, edges, words, percent)
+        tasks = tasks.unionByName(more)
+    linked = written(confirmed_edges(docs, tasks, words, percent), "links")
+    linked = linked.unionByName(stars) if stars is not None else linked
     repeated = of.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("c")).filter("b <> c")
     edges = linked.unionByName(repeated.selectExpr("c AS a", "b")).unionByName(of.join(repeated, "doc_id").selectExpr("rep AS a", "b"))
     labels = components(edges)

@@ -68,6 +68,18 @@ def test_link_equals_all_pairs():
     assert got.tolist() == comp
 
 
+def test_link_from_some_sets_and_known_components():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 30, rng.integers(1, 25))).astype(np.uint64) for _ in range(120)]
+    ask = rng.random(120) < 0.3
+    comp = np.where(ask, np.arange(120), 500)  # all that don't ask are connected
+    got = nd.link(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]), 80, comp, ask)
+    words = [" ".join(map(str, s)) for s in sets]
+    rest = int(np.flatnonzero(~ask)[0])
+    want, _ = plain([(i, w) for i, w in enumerate(words)] + [(int(i), words[rest]) for i in np.flatnonzero(~ask)] + [(rest, w) for w, a in zip(words, ask) if not a], 1)
+    assert got.tolist() == want[:120]
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(5, 5)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
