@@ -28,7 +28,7 @@ GRAM = 100
 #: Strings in a range, at most.
 RANGE = 2048
 #: Bytes of a long text taken at a time, and of ranges ordered at a time.
-SEGMENT = 2 << 20
+SEGMENT = 1 << 20
 HOT = 8192
 U64 = ww.U64
 

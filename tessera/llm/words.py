@@ -57,7 +57,7 @@ def span(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((sums[end] - sums[start]) * powers(BASE_INV, len(sums))[start])
 
 
-def blocks(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, buf, off) for runs of texts of about `limit` bytes; a longer text is a
     run of its own. Null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
