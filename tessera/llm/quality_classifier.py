@@ -1,6 +1,7 @@
 """Quality of a text by a byte-level convolutional network in numpy.
 
-Bytes become short learned vectors. Learned filters look at chunks of `WIDTH` bytes, each `STEP` behind the one before and so
+A byte comes with a mark if the `GRAM` bytes from it on occurred up to `BACK` bytes before in the same text, and each byte with or
+without the mark becomes a short learned vector. Learned filters look at chunks of `WIDTH` bytes, each `STEP` behind the one before and so
 overlapping it, over the whole text; of every filter the highest answer in the text counts, and a weighted sum of these
 becomes a probability. A chunk is two halves of `STEP` bytes, so a filter's answers are two products of the same matrix, added
 with a shift, and chunks are never copied.
@@ -24,6 +25,7 @@ from tessera.llm.common import crc_mod
 
 SAMPLE, LONGEST = 4000, 40_000
 STEP, WIDTH, DEPTH, FILTERS = 4, 8, 8, 32
+GRAM, BACK = 6, 40
 EPOCHS, BATCH, RATE = 8, 32, 0.01
 #: Bytes whose answers are in memory at once.
 SLICE = 512 << 10
@@ -33,7 +35,7 @@ GOOD = 0.3
 
 @dataclass
 class Network:
-    bytes_: np.ndarray  # 256 x DEPTH
+    bytes_: np.ndarray  # 512 x DEPTH: bytes without and with the mark
     filters: np.ndarray  # WIDTH * DEPTH x FILTERS
     bias: np.ndarray  # FILTERS
     weights: np.ndarray  # FILTERS
@@ -43,12 +45,12 @@ class Network:
     def fresh(cls, seed: int) -> Network:
         rng = np.random.default_rng(seed)
         draw = lambda *shape: rng.normal(size=shape).astype(np.float32)
-        return cls(draw(256, DEPTH) * 0.5, draw(WIDTH * DEPTH, FILTERS) * 0.15, np.zeros(FILTERS, np.float32), draw(FILTERS) * 0.2, np.zeros(1, np.float32))
+        return cls(draw(512, DEPTH) * 0.5, draw(WIDTH * DEPTH, FILTERS) * 0.15, np.zeros(FILTERS, np.float32), draw(FILTERS) * 0.2, np.zeros(1, np.float32))
 
-    def answers(self, padded: np.ndarray) -> np.ndarray:
-        """Filters' answers to the chunks of padded bytes, a row per chunk; the last half has no chunk of its own."""
+    def answers(self, symbols: np.ndarray) -> np.ndarray:
+        """Filters' answers to the chunks of padded texts, a row per chunk; the last half has no chunk of its own."""
         half = STEP * DEPTH
-        x = np.take(self.bytes_, padded, axis=0).reshape(-1, half)
+        x = np.take(self.bytes_, symbols, axis=0).reshape(-1, half)
         both = x @ np.concatenate([self.filters[:half], self.filters[half:]], 1)
         out = both[:-1, :FILTERS]
         out += both[1:, FILTERS:]
@@ -67,12 +69,13 @@ class Network:
             padded = np.zeros(at[j] - at[i], np.uint8)
             for t in range(i, j):
                 padded[at[t] - at[i] : at[t] - at[i] + size[t]] = buf[off[t] : off[t + 1]]
+            symbols = marked(padded, at[i : j + 1] - at[i])
             if j == i + 1 and len(padded) > SLICE:  # one long text, part by part
                 for a in range(0, len(padded) - STEP, SLICE):
-                    part = self.answers(padded[a : a + SLICE + STEP])
+                    part = self.answers(symbols[a : a + SLICE + STEP])
                     out[i] = np.maximum(out[i], part.max(0))
             else:
-                rows = self.answers(padded)
+                rows = self.answers(symbols)
                 first = (at[i:j] - at[i]) // STEP
                 last = np.append(first[1:] - 1, len(rows))  # the chunk over two texts belongs to neither
                 cuts = np.stack([first, last], 1).ravel()[:-1]
@@ -85,9 +88,29 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
+def marked(padded: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Bytes of padded texts, plus 256 where a gram occurred shortly before in the same text. at: where each begins (n + 1 long)."""
+    out, n = padded.astype(np.int16), len(padded) - GRAM + 1
+    if n <= 0:
+        return out
+    word = np.zeros(n, np.uint64)
+    for i in range(GRAM):
+        word |= padded[i : n + i].astype(np.uint64) << np.uint64(8 * i)
+    inside = np.arange(len(padded), dtype=np.int32) - np.repeat(at[:-1], np.diff(at)).astype(np.int32)
+    hit = np.zeros(n, bool)
+    for d in range(1, min(BACK, n - 1) + 1):
+        hit[d:] |= (word[d:] == word[:-d]) & (inside[d:n] >= d)
+    ends = (at[1:, None] - np.arange(1, GRAM)).ravel()  # grams that would run into the next text
+    hit[ends[(ends >= 0) & (ends < n)]] = False
+    hit &= padded[:n] != 0
+    out[:n][hit] += 256
+    return out
+
+
 def _pad(text: bytes) -> np.ndarray:
     room = STEP * max(WIDTH // STEP, -(-len(text) // STEP) + 1)
-    return np.frombuffer(text.ljust(room, b"\0"), np.uint8)
+    padded = np.frombuffer(text.ljust(room, b"\0"), np.uint8)
+    return marked(padded, np.array([0, room]))
 
 
 def train(texts: list[bytes], labels: list[int], seed: int = 11) -> Network:

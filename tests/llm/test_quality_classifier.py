@@ -20,11 +20,22 @@ def test_scores_equal_a_loop_over_chunks(monkeypatch, slice_):
     monkeypatch.setattr(qc, "SLICE", slice_)
     net, rng = qc.Network.fresh(1), np.random.default_rng(2)
     texts = [rng.integers(32, 127, n).astype(np.uint8).tobytes() for n in (0, 1, 4, 7, 8, 9, 64, 65, 500, 0, 3, 130)]
+    texts += [b"word word word word", b"word word word word", b"again and again and again and", b"ab", b"ab", b"ab" * 200]
     off = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     got = net.score(np.frombuffer(b"".join(texts), np.uint8), off)
     assert np.allclose(got, [plain(net, t) for t in texts], atol=1e-5)
 
 
+def test_marks_tell_repeats_within_a_text():
+    texts = [b"abcdef abcdef", b"abcdef", b"abcdefg" + b"." * 60 + b"abcdefg"]
+    padded = [qc._pad(t) for t in texts]
+    marks = [[bool(v > 255) for v in p] for p in padded]
+    assert [i for i, m in enumerate(marks[0]) if m] == [7] and not any(marks[1])
+    assert not any(marks[2][67:]) and all(marks[2][8:60])
+    joined = qc.marked(np.concatenate([p & 255 for p in padded]).astype(np.uint8), np.concatenate([[0], np.cumsum(list(map(len, padded)))]))
+    assert joined.tolist() == [v for p in padded for v in p.tolist()]
+
+
 def table(spark):
     rng = np.random.default_rng(6)
     rows = []
