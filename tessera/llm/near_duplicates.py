@@ -185,7 +185,8 @@ def confirmed_edges(docs: DataFrame, members: DataFrame, k: int, percent: int) -
             yield solve(rows, texts)
 
     tasks = members.groupBy("rep").agg(F.collect_list(F.struct(*TASK[:3], *TASK[4:])).alias("tasks"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(tasks, "rep")
+    # texts are exchanged at every size: a join that is broadcast while the table is small tells nothing about a large one
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(tasks.hint("merge"), "rep")
     rows = texts.select("rep", "text", F.explode("tasks").alias("t")).select("t.family", "t.i", "t.j", "rep", "t.comp", "t.ask", "text")
     return rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "rep").mapInArrow(task, "a long, b long")
 
