@@ -78,6 +78,7 @@ def collections(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
 def signatures(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, fp1 and fp2 (a fingerprint of the set), left and right (the collections; null without shingles)."""
 
+    @ww.tidy
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, buf, off in ww.blocks(batch.column("text")):
@@ -168,6 +169,7 @@ def confirmed_edges(docs: DataFrame, members: DataFrame, k: int, percent: int) -
         to = ids[link(np.concatenate(sets), np.concatenate(ends), percent, np.array(rows["comp"], np.int64), None if ask.all() else ask)]
         return pa.RecordBatch.from_arrays([pa.array(ids[ids != to]), pa.array(to[ids != to])], ["a", "b"])
 
+    @ww.tidy
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows, texts = None, {c: [] for c in TASK[3:]}, []
         for batch in batches:

@@ -18,9 +18,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tessera.llm.tokens import encoder
+from tessera.llm.words import tidy
 
 #: Ids that are packed together.
-TOGETHER = 8 << 20
+TOGETHER = 4 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -107,6 +108,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 4096) -> Data
     and a task that runs again gives the same rows.
     """
 
+    @tidy
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, sequence = encoder(tokenizer).encode, TaskContext.get().partitionId() << 32
         names = [f.split()[0] for f in SCHEMA.split(", ")]

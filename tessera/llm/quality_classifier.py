@@ -174,6 +174,7 @@ def scored(docs: DataFrame, net: Network) -> DataFrame:
     docs = docs.drop("score")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
+    @ww.tidy
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, buf, off in ww.blocks(batch.column("text")):

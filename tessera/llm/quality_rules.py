@@ -89,6 +89,7 @@ def with_stats(docs: DataFrame, *keep: str) -> DataFrame:
     docs = docs.select(*keep, "text")
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
 
+    @ww.tidy
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [*keep, *(f.split()[0] for f in STATS.split(", "))]
         for batch in batches:

@@ -85,6 +85,7 @@ def all_ranges(docs: DataFrame, width: int) -> DataFrame:
     def segments(buf: np.ndarray) -> Iterator[int]:
         yield from range(0, max(1, len(buf) - width + 1), SEGMENT)
 
+    @ww.tidy
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, buf, off in ww.blocks(batch.column("text"), SEGMENT):
@@ -162,6 +163,7 @@ def resolve(kinds: DataFrame, width: int) -> DataFrame:
         ids, keys = pa.array(rows["doc_id"], pa.int64()), pa.array(rows["key"], pa.int64())
         return pa.RecordBatch.from_arrays([ids.take(pa.array(row)), keys.take(pa.array(row)), pa.array(place[head] + shift), pa.array(place[last] + shift + width)], ["doc_id", "key", "start", "end"])
 
+    @ww.tidy
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["a", "n", "once", "doc_id", "key", "start", "bytes"]
         rows: dict[str, list] = {c: [] for c in names}
@@ -183,6 +185,7 @@ def resolve(kinds: DataFrame, width: int) -> DataFrame:
 def _string_rows(width: int):
     """For ranges under a hot first digit: a row per string, with 128 bits of digest."""
 
+    @ww.tidy
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = ("n", "once", "doc_id", "key", "start", "bytes")
@@ -244,6 +247,7 @@ def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
     joined = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left").drop("_key", "_d", "_k")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "_key")
 
+    @ww.tidy
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, buf, off in ww.blocks(batch.column("text"), SEGMENT):
