@@ -13,6 +13,8 @@ from tessera.llm import mixing, near_duplicates, packing, quality_classifier, re
 from tessera.llm.common import written
 from tessera.llm.tokens import tokenizer_path
 
+#: A passage of over 50 words, in words.
+PASSAGE = 51
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -29,8 +31,9 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without strings of 400 bytes that start anywhere else too. A character of which only some bytes remain is dropped."""
-    found = repeats.remove_repeats(docs)
+    """Texts without strings of 400 bytes, and passages of over 50 words, that start anywhere else too. A character of which only some bytes
+    remain is dropped."""
+    found = repeats.remove_repeats(docs, words=PASSAGE)
     left = F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("�"), F.lit(""))
     text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(left)
     return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)

@@ -10,6 +10,9 @@ Rows are counted by that digit, and those whose digit occurs once are done. Of t
 as they stand. Only ranges that share their first digit but differ, one of each kind, have their bytes moved to a task,
 where passes over the next digits, ever wider, order the strings in them; the last step compares bytes. A first digit with more than
 `HOT` kinds of ranges isn't put into one task: its strings become rows, counted by a 128-bit digit over all their bytes.
+
+Where a number of words is asked for too, passages of so many words go through the same steps as strings do, with words in the place of
+bytes; white space between them doesn't count. Their last step compares 128 bits of digest.
 """
 
 from __future__ import annotations
@@ -25,6 +28,10 @@ from tessera.llm import words as ww
 from tessera.llm.common import written
 
 GRAM = 100
+#: The same in words.
+WORD_GRAM = 8
+#: Keeps the first digits of passages apart from those of strings.
+SALT = ww.ODD[300]
 #: Strings in a range, at most.
 RANGE = 2048
 #: Bytes of a long text taken at a time, and of ranges ordered at a time.
@@ -41,14 +48,20 @@ def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (n - done)], x[n - done :]) if done < n else x
 
 
-def ranges(buf: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-    """Runs of strings with the same first digit: text, start in the block, strings, first digit, hash of the bytes, and
-    whether the digit's gram occurs twice in the range (so that strings in it may be equal)."""
-    gram = min(GRAM, width)
-    n = len(buf) - gram + 1
-    if len(buf) < width:
+def word_sums(buf: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray = ww.BYTE) -> np.ndarray:
+    """Running sums over words, as `prefix` has them over bytes."""
+    out = np.zeros(len(start) + 1, U64)
+    np.cumsum(ww.span(ww.prefix(buf, table), start, end) * ww.powers(ww.BASE, len(start)), out=out[1:])
+    return out
+
+
+def ranges(sums: np.ndarray, off: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Runs of strings with the same first digit: text, start in the block, strings, first digit, hash of the range, and
+    whether the digit's gram occurs twice in the range (so that strings in it may be equal). sums: over bytes or words."""
+    gram = min(gram, width)
+    n = len(sums) - gram
+    if len(sums) - 1 < width:
         return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, U64, U64, bool))
-    sums = ww.prefix(buf)
     grams = ww.span(sums, np.arange(n), np.arange(gram, n + gram))
     least = _sliding_min(grams, width - gram + 1)
     inside = np.zeros(len(least) + 1, np.int8)
@@ -79,29 +92,44 @@ def ranges(buf: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, ..
     return text, start, size, value, ww.span(sums, start, start + size + width - 1), twice
 
 
-def all_ranges(docs: DataFrame, width: int) -> DataFrame:
-    """docs: doc_id, key, text. A row per range: doc_id, key, start, n, a (first digit), c (hash of the bytes), twice."""
+def all_ranges(docs: DataFrame, width: int, words: int = 0) -> DataFrame:
+    """docs: doc_id, key, text. A row per range: doc_id, key, start and size in bytes, n, a (first digit), c (hash of the range), twice,
+    words (whether it is one of passages)."""
 
     def segments(buf: np.ndarray) -> Iterator[int]:
         yield from range(0, max(1, len(buf) - width + 1), SEGMENT)
 
+    def strings(buf: np.ndarray, off: np.ndarray, long_: bool) -> Iterator[tuple]:
+        for x in segments(buf) if long_ else [0]:
+            piece = buf[x : x + SEGMENT + width - 1] if long_ else buf
+            edge = np.array([0, len(piece)]) if long_ else off
+            text, start, n, a, c, twice = ranges(ww.prefix(piece), edge, width, GRAM)
+            yield text, start - edge[text] + x, n + width - 1, n, a, c, twice, False
+
+    def passages(buf: np.ndarray, off: np.ndarray, long_: bool) -> Iterator[tuple]:
+        begin, stop, first = ww.words(buf, off)
+        for x in range(0, len(begin) - words + 1, SEGMENT // 4 if long_ else max(len(begin), 1)):
+            b, e = (v[x : x + SEGMENT // 4 + words - 1] if long_ else v for v in (begin, stop))
+            sums = word_sums(buf[b[0] : e[-1]], b - b[0], e - b[0])
+            text, at, n, a, c, twice = ranges(sums, np.array([0, len(b)]) if long_ else first, words, WORD_GRAM)
+            start = b[at]
+            yield text, start - off[text], e[at + n + words - 2] - start, n, a ^ SALT, c, twice, True
+
     @ww.tidy
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, buf, off in ww.blocks(batch.column("text"), SEGMENT):
-                for x in segments(buf) if end == first + 1 else [0]:
-                    piece = buf[x : x + SEGMENT + width - 1] if end == first + 1 else buf
-                    edge = np.array([0, len(piece)]) if end == first + 1 else off
-                    text, start, n, a, c, twice = ranges(piece, edge, width)
-                    if not len(text):
-                        continue
-                    rows = pa.array(text + first)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").take(rows), batch.column("key").take(rows), pa.array(start - edge[text] + x), pa.array(n.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(twice)],
-                        ["doc_id", "key", "start", "n", "a", "c", "twice"],
-                    )
+                for kind in (strings, passages) if words else (strings,):
+                    for text, start, size, n, a, c, twice, is_words in kind(buf, off, end == first + 1):
+                        if not len(text):
+                            continue
+                        rows = pa.array(text + first)
+                        yield pa.RecordBatch.from_arrays(
+                            [batch.column("doc_id").take(rows), batch.column("key").take(rows), pa.array(start), pa.array(size), pa.array(n.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(twice), pa.array(np.full(len(text), is_words))],
+                            ["doc_id", "key", "start", "size", "n", "a", "c", "twice", "words"],
+                        )
 
-    return docs.mapInArrow(task, "doc_id long, key long, start long, n int, a long, c long, twice boolean")
+    return docs.mapInArrow(task, "doc_id long, key long, start long, size long, n int, a long, c long, twice boolean, words boolean")
 
 
 def equal_strings(buf: np.ndarray, start: np.ndarray, group: np.ndarray, width: int) -> np.ndarray:
@@ -144,8 +172,35 @@ def _word(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.ndarray((len(buf) - 7,), "<u8", buf, strides=(1,))[at]
 
 
-def resolve(kinds: DataFrame, width: int) -> DataFrame:
-    """kinds: a, n, once, doc_id, key, start and bytes, sorted by a. Spans of repeated strings in the ranges that occur once."""
+def passages_in(buf: np.ndarray, off: np.ndarray, n: np.ndarray, words: int) -> tuple[np.ndarray, ...]:
+    """Of ranges of n passages: range, first and last byte in the block, and two digests of each passage."""
+    begin, stop, first = ww.words(buf, off)
+    of = np.repeat(np.arange(len(n)), n)
+    at = first[of] + np.arange(len(of)) - (np.cumsum(n) - n)[of]
+    digests = (ww.span(word_sums(buf, begin, stop, t), at, at + words) for t in (ww.BYTE, ww.ODD[256:512]))
+    return of, begin[at], stop[at + words - 1], *digests
+
+
+def resolve(kinds: DataFrame, width: int, words: int = 0) -> DataFrame:
+    """kinds: a, n, once, doc_id, key, start and bytes, sorted by a. Spans of repeated strings, or passages of `words` words, in the ranges that
+    occur once."""
+
+    def solve_words(rows: dict[str, list]) -> pa.RecordBatch:
+        off = np.cumsum([0] + [len(b) for b in rows["bytes"]])
+        of, begin, stop, h1, h2 = passages_in(np.frombuffer(b"".join(rows["bytes"]), np.uint8), off, np.array(rows["n"], np.int64), words)
+        order = np.lexsort((h2, h1))
+        new = np.append(True, (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1]))[: len(order)]
+        number = np.cumsum(new) - 1
+        hit = np.zeros(len(of), bool)
+        hit[order] = np.bincount(number)[number] > 1
+        hit &= np.array(rows["once"], bool)[of]
+        place, row = np.flatnonzero(hit), of[hit]
+        head = np.flatnonzero(np.append(True, (place[1:] != place[:-1] + 1) | (row[1:] != row[:-1]))[: len(place)])
+        last = np.append(head[1:], len(place))[: len(head)] - 1
+        row = row[head]
+        shift = np.array(rows["start"], np.int64)[row] - off[row]
+        ids, keys = pa.array(rows["doc_id"], pa.int64()), pa.array(rows["key"], pa.int64())
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(row)), keys.take(pa.array(row)), pa.array(begin[place[head]] + shift), pa.array(stop[place[last]] + shift)], ["doc_id", "key", "start", "end"])
 
     def solve(rows: dict[str, list]) -> pa.RecordBatch:
         sizes = np.array([len(b) for b in rows["bytes"]], np.int64)
@@ -171,28 +226,32 @@ def resolve(kinds: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             for values in zip(*(batch.column(c).to_pylist() for c in names)):
                 if held >= SEGMENT and values[0] != rows["a"][-1]:
-                    yield solve(rows)
+                    yield (solve_words if words else solve)(rows)
                     rows, held = {c: [] for c in names}, 0
                 for c, v in zip(names, values):
                     rows[c].append(v)
                 held += len(values[-1])
         if held:
-            yield solve(rows)
+            yield (solve_words if words else solve)(rows)
 
     return kinds.select("a", "n", "once", "doc_id", "key", "start", "bytes").mapInArrow(task, "doc_id long, key long, start long, end long")
 
 
-def _string_rows(width: int):
-    """For ranges under a hot first digit: a row per string, with 128 bits of digest."""
+def _string_rows(width: int, words: int = 0):
+    """For ranges under a hot first digit: a row per string or passage, with 128 bits of digest."""
 
     @ww.tidy
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = ("n", "once", "doc_id", "key", "start", "bytes")
-            for n, once, doc, key, start, data in zip(*(batch.column(c).to_pylist() for c in names)):
+            names = ("n", "once", "doc_id", "key", "start", "words", "bytes")
+            for n, once, doc, key, start, is_words, data in zip(*(batch.column(c).to_pylist() for c in names)):
                 buf, p = np.frombuffer(data, np.uint8), np.arange(n)
-                digests = [pa.array(ww.span(ww.prefix(buf, t), p, p + width).view(np.int64)) for t in (ww.BYTE, ww.ODD[256:512])]
-                yield pa.RecordBatch.from_arrays([*digests, pa.array([doc] * n, pa.int64()), pa.array([key] * n, pa.int64()), pa.array(p + start), pa.array([once] * n)], ["h1", "h2", "doc_id", "key", "start", "once"])
+                if is_words:
+                    _, p, end, *digests = passages_in(buf, np.array([0, len(buf)]), np.array([n]), words)
+                    digests[0] = digests[0] ^ SALT
+                else:
+                    digests, end = [ww.span(ww.prefix(buf, t), p, p + width) for t in (ww.BYTE, ww.ODD[256:512])], p + width
+                yield pa.RecordBatch.from_arrays([*(pa.array(d.view(np.int64)) for d in digests), pa.array([doc] * n, pa.int64()), pa.array([key] * n, pa.int64()), pa.array(p + start), pa.array(end + start), pa.array([once] * n)], ["h1", "h2", "doc_id", "key", "start", "end", "once"])
 
     return task
 
@@ -201,48 +260,53 @@ def with_key(docs: DataFrame) -> DataFrame:
     return docs.withColumn("key", F.xxhash64("text"))
 
 
-def repeated_spans(docs: DataFrame, width: int = 400) -> DataFrame:
+def repeated_spans(docs: DataFrame, width: int = 400, words: int = 0) -> DataFrame:
     """A row per document with repeated strings: doc_id, key (hash of its text) and spans, an array of (start, end) bytes,
     which may overlap."""
     docs = with_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    found = written(all_ranges(docs, width), "ranges")
+    found = written(all_ranges(docs, width, words), "ranges")
     often = found.groupBy("a").agg(F.count("*").alias("m"), F.bool_or("twice").alias("t")).filter("m > 1 OR t").select("a")
     often = written(often, "shared-digits")  # a table of its own, so that Spark can split the join at a hot digit
     found = written(found.join(often, "a", "left_semi"), "shared-ranges")
-    kinds = found.groupBy("a", "c", "n").agg(F.count("*").alias("m"), F.bool_or("twice").alias("twice"), F.min(F.struct("doc_id", "key", "start")).alias("one"))
+    kinds = found.groupBy("a", "c", "n").agg(F.count("*").alias("m"), F.bool_or("twice").alias("twice"), F.min(F.struct("doc_id", "key", "start", "size", "words")).alias("one"))
     kinds = written(kinds, "kinds")
-    whole = found.join(kinds.filter("m > 1").select("a", "c", "n"), ["a", "c", "n"], "left_semi").select("doc_id", "key", "start", (F.col("start") + F.col("n") + width - 1).alias("end"))
+    whole = found.join(kinds.filter("m > 1").select("a", "c", "n"), ["a", "c", "n"], "left_semi").select("doc_id", "key", "start", (F.col("start") + F.col("size")).alias("end"))
     differ = kinds.groupBy("a").agg(F.count("*").alias("kinds"), F.bool_or("twice").alias("inner")).filter("kinds > 1 OR inner")
     differ = written(differ, "differing-digits")
     differ = kinds.join(differ, "a").select("a", "n", (F.col("m") == 1).alias("once"), "kinds", "one.*")
-    wanted = differ.groupBy("doc_id", "key").agg(F.collect_list(F.struct("a", "n", "once", "kinds", "start")).alias("wanted"))
+    wanted = differ.groupBy("doc_id", "key").agg(F.collect_list(F.struct("a", "n", "once", "kinds", "start", "size", "words")).alias("wanted"))
     wanted = wanted.withColumnsRenamed({"doc_id": "_d", "key": "_k"})
     on = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k"))
     one = docs.join(wanted, on).dropDuplicates(["doc_id", "key"]).select("doc_id", "key", F.col("text").cast("binary").alias("text"), F.explode("wanted").alias("w"))
-    cut = F.substring(F.col("text"), (F.col("w.start") + 1).cast("int"), F.col("w.n") + width - 1)
+    cut = F.substring(F.col("text"), (F.col("w.start") + 1).cast("int"), F.col("w.size").cast("int"))
     texts = written(one.select("doc_id", "key", "w.*", cut.alias("bytes")), "range-bytes")
-    usual = texts.filter(F.col("kinds") <= HOT).repartition("a").sortWithinPartitions("a", "doc_id", "start")
-    spans = whole.unionByName(resolve(usual, width))
+    usual = lambda kind: texts.filter((F.col("kinds") <= HOT) & kind).repartition("a").sortWithinPartitions("a", "doc_id", "start")
+    spans = whole.unionByName(resolve(usual(~F.col("words")), width))
+    if words:
+        spans = spans.unionByName(resolve(usual(F.col("words")), width, words))
     hot = texts.filter(F.col("kinds") > HOT)
     if not hot.isEmpty():
-        strings = written(hot.select("n", "once", "doc_id", "key", "start", "bytes").mapInArrow(_string_rows(width), "h1 long, h2 long, doc_id long, key long, start long, once boolean"), "strings")
+        strings = written(hot.select("n", "once", "doc_id", "key", "start", "words", "bytes").mapInArrow(_string_rows(width, words), "h1 long, h2 long, doc_id long, key long, start long, end long, once boolean"), "strings")
         twice = strings.groupBy("h1", "h2").agg(F.count("*").alias("m")).filter("m > 1").select("h1", "h2")
         again = strings.filter("once").join(twice, ["h1", "h2"], "left_semi")
-        spans = spans.unionByName(again.select("doc_id", "key", "start", (F.col("start") + width).alias("end")))
+        spans = spans.unionByName(again.select("doc_id", "key", "start", "end"))
     return spans.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, width: int = 400) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 400, words: int = 0) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary, what remains).
 
     Every byte goes that a string of `width` bytes covers which also starts anywhere else, in the same text or another; strings are judged on
     the texts as they come. docs: doc_id (integer), text and any other columns, which stay but for those of the names above.
     Null text is empty. Rows with equal doc_id are documents of their own, equal rows repeat each other. A text
     shorter than `width` loses nothing. An empty table gives no rows.
+
+    With `words`, every byte also goes that lies in a passage of so many words which also starts anywhere else; words are what white space
+    of ASCII separates, and the space around a passage stays.
     """
     new = ("n_bytes", "n_removed", "n_spans", "kept")
     docs = docs.drop(*new)
-    spans = repeated_spans(docs, width).withColumnsRenamed({"doc_id": "_d", "key": "_k", "spans": "_spans"})
+    spans = repeated_spans(docs, width, words).withColumnsRenamed({"doc_id": "_d", "key": "_k", "spans": "_spans"})
     docs = docs.withColumn("_key", F.xxhash64("text"))
     joined = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left").drop("_key", "_d", "_k")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "_key")

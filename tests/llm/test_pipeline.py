@@ -81,3 +81,19 @@ def test_odd_rows(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, 1, None), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert cp.run(spark, str(tmp_path)).count() > 0
+
+
+def test_passages_of_51_words(spark):
+    rng = random.Random(3)
+    word = lambda n=6: "".join(rng.choices("abcdefghijkl", k=n))
+    passages, short = {n: " ".join(word(n) for _ in range(51)) for n in (2, 5, 6)}, " ".join(word() for _ in range(50))
+    own = lambda: " ".join(word() for _ in range(30))
+    rows, left = [], {}
+    for i, p in enumerate([*passages.values(), passages[5].replace(" ", "\n "), short] * 2):
+        a, b = own(), own()
+        rows.append((i, f"{a} {p} {b}", "en", "s", 0))
+        left[i] = f"{a} {p} {b}" if p is short else f"{a}  {b}"
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = {r.doc_id: " ".join(r.text.split()) for r in cp.without_repeats(spark, docs, "").collect()}
+    assert all(len(p.encode()) < 400 for p in passages.values())
+    assert got == {k: " ".join(v.split()) for k, v in left.items()}

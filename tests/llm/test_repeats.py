@@ -1,6 +1,7 @@
 """Removal of repeated strings against a dictionary of all strings."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -61,3 +62,34 @@ def test_shared_grams_without_a_repeated_string(spark):
     rows = [(i, "".join(rng.choices("ghijk", k=300)) + gram + "".join(rng.choices("lmnop", k=300))) for i in range(6)]
     got = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 400).collect()
     assert len(got) == 6 and all(r.n_removed == 0 and bytes(r.kept).decode() == dict(rows)[r.doc_id] for r in got)
+
+
+def plain_words(texts, n):
+    found = [list(re.finditer(r"[^\x20\x09-\x0D]+", t or "", re.ASCII)) for t in texts]
+    count = Counter(tuple(m.group() for m in ms[i : i + n]) for ms in found for i in range(len(ms) - n + 1))
+    out = []
+    for t, ms in zip(texts, found):
+        gone = [False] * len(t or "")
+        for i in range(len(ms) - n + 1):
+            if count[tuple(m.group() for m in ms[i : i + n])] > 1:
+                gone[ms[i].start() : ms[i + n - 1].end()] = [True] * (ms[i + n - 1].end() - ms[i].start())
+        out.append("".join(c for c, g in zip(t or "", gone) if not g).encode())
+    return out
+
+
+@pytest.mark.parametrize("hot, segment, span", [(8192, 4 << 20, 2048), (2, 700, 5), (8192, 300, 2048)])
+def test_passages_of_words(spark, monkeypatch, hot, segment, span):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "SEGMENT", segment)
+    monkeypatch.setattr(repeats, "RANGE", span)
+    rng = random.Random(hot + segment)
+    some = lambda n: [rng.choice("abé") * rng.randint(1, 3) + rng.choice("xyz") for _ in range(n)]
+    passages = [some(rng.randint(10, 40)) for _ in range(5)]
+    texts_ = [None, "", " x ", "na " * 13, "na " * 12, "\n".join(some(900))]
+    for _ in range(50):
+        words_ = [w for _ in range(rng.randint(1, 5)) for w in (rng.choice(passages) if rng.random() < 0.5 else some(rng.randint(1, 15)))]
+        texts_.append("".join(w + rng.choice([" ", "\n", "\t  "]) for w in words_))
+    docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: bytes(r.kept) for r in repeats.remove_repeats(docs, 100_000, 12).collect()}
+    want = plain_words(texts_, 12)
+    assert got == dict(enumerate(want)) and sum(len((t or "").encode()) - len(w) for t, w in zip(texts_, want)) > 2000
