@@ -54,12 +54,15 @@ def native_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def roundtrip_anim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = raster.rgba(spark, sf_dir, 6).withColumn("frame", F.expr(f"y div {HEIGHT}")).filter(F.expr(f"y < {HEIGHT} * 8"))
+    """All frames, in sequences of at most 8; a frame with fewer lines begins one of its own, as a sequence has one size."""
+    rows = raster.rgba(spark, sf_dir, 6).withColumn("frame", F.expr(f"y div {HEIGHT}"))
     still = "CASE WHEN frame % 4 = 3 OR (y % 32 < 20) THEN transform({c}, v -> 1) ELSE {c} END"
-    frames = files.images(rows.select("frame", "y", *(F.expr(still.format(c=c)).alias(c) for c in "rgba")), "frame").withColumns({"anim": F.lit(0).cast("long"), "delay": F.expr("frame * 10")})
+    frames = files.images(rows.select("frame", "y", *(F.expr(still.format(c=c)).alias(c) for c in "rgba")), "frame")
+    frames = frames.withColumn("anim", F.expr(f"CAST(frame div 8 * {HEIGHT} + {HEIGHT} - height AS BIGINT)"))
+    frames = frames.withColumn("frame", F.expr("CAST(row_number() OVER (PARTITION BY anim ORDER BY frame) - 1 AS BIGINT)")).withColumn("delay", F.expr("frame * 10"))
     back = files.decoded_sequences(files.encoded_sequences(frames)).select("anim", "frame", F.col("delay").alias("got_delay"), F.col("rgba").alias("got"))
-    joined = frames.join(back, ["anim", "frame"])
-    return joined.select("anim", "frame", "got_delay", (F.col("rgba") == F.col("got")).alias("exact"))
+    joined = frames.join(back, ["anim", "frame"], "left")
+    return joined.select("anim", "frame", "got_delay", F.coalesce(F.col("rgba") == F.col("got"), F.lit(False)).alias("exact"))
 
 
 def picture_formats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,3 +121,11 @@ def test_pixel_difference(spark):
     one, two = picture(spark, np.array([[1, 2], [3, 4]])), picture(spark, np.array([[1, 5], [3, 4], [7, 7]]))
     cells = lambda t: t.select("img", "y", F.posexplode("line").alias("x", "v"))
     assert [r.mismatches for r in corpus.pixel_difference(cells(one), cells(two), "img", "y", "x").collect()] == [3]
+
+
+@needs_data
+def test_every_frame_is_round_tripped(spark):
+    lines = spark.read.parquet(f"{DATA}/embeddings.parquet").count()
+    rows = catalogue.QUERIES["roundtrip_anim"](spark, DATA).collect()
+    assert len(rows) == len({(r.anim, r.frame) for r in rows}) == -(-lines // 32) and all(r.exact for r in rows)
+    assert all(r.got_delay == r.frame * 10 or r.frame == 0 for r in rows) and max(r.frame for r in rows) < 8
