@@ -309,10 +309,24 @@ def _sprite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(F.lit(0).alias("anim"), "frame", "y", F.expr(line).alias("line"))
 
 
+def _sprites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sequence like that of `_sprite` for each 50 lines of the table."""
+    rows = raster.gray(spark, sf_dir).select(F.expr("y div 50").alias("anim"), F.expr("y % 50").alias("y"), F.slice("line", 1, 24).alias("t"))
+    every = rows.withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("frame", F.col("frame").cast("long"))
+    moved = every.filter("y < 12").select("anim", "frame", F.expr("y + frame").alias("y"), "t")
+    both = every.drop("t").join(moved, ["anim", "frame", "y"], "left")
+    return both.select("anim", "frame", "y", F.expr("transform(sequence(0, 63), x -> coalesce(get(t, CAST(x - 2 * frame AS INT)), 0))").alias("line"))
+
+
 def move_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.move_votes(_sprite(spark, sf_dir))
 
 
+def move_votes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As move_votes, with votes from a sequence for each 50 lines of the whole table."""
+    return frames.move_votes(_sprites(spark, sf_dir))
+
+
 MOVE_VOTES = (
     "WITH "
     + raster.PX
@@ -324,17 +338,29 @@ SELECT 0 AS anim, n.frame, CAST(n.x - o.ox AS INT) AS dx, n.y - o.oy AS dy, coun
 WHERE n.x <> o.ox OR n.y <> o.oy GROUP BY ALL HAVING count(*) >= 4"""
 )
 
+MOVE_VOTES_ALL = (
+    "WITH "
+    + raster.PX
+    + """,
+s AS (SELECT y // 50 AS anim, y % 50 AS y, x, v0 FROM px),
+fr AS (SELECT g.anim, f.frame, g.y, g.x, coalesce(t.v0, 0) AS v FROM (SELECT unnest(range(8)) AS frame) f CROSS JOIN s g LEFT JOIN s t ON t.anim = g.anim AND t.y = g.y - f.frame AND t.y < 12 AND t.x = g.x - 2 * f.frame AND t.x < 24),
+p AS (SELECT a.anim, a.frame, a.y, a.x, a.v, [a.v, b.v, c.v, d.v] AS key FROM fr a JOIN fr b ON b.anim = a.anim AND b.frame = a.frame AND b.y = a.y AND b.x = a.x + 1 JOIN fr c ON c.anim = a.anim AND c.frame = a.frame AND c.y = a.y + 1 AND c.x = a.x JOIN fr d ON d.anim = a.anim AND d.frame = a.frame AND d.y = a.y + 1 AND d.x = a.x + 1),
+o AS (SELECT anim, frame, key, min(y) AS oy, min(x) AS ox FROM p GROUP BY anim, frame, key HAVING count(*) = 1)
+SELECT n.anim, n.frame, CAST(n.x - o.ox AS INT) AS dx, n.y - o.oy AS dy, count(*) AS votes FROM p n JOIN p w ON w.anim = n.anim AND w.frame = n.frame - 1 AND w.y = n.y AND w.x = n.x AND w.v <> n.v JOIN o ON o.anim = n.anim AND o.frame = n.frame - 1 AND o.key = n.key
+WHERE n.x <> o.ox OR n.y <> o.oy GROUP BY ALL HAVING count(*) >= 4"""
+)
+
 QUERIES = {
     "palette_lex": palette_lex, "palette_luma": palette_luma, "index_histogram": index_histogram, "rle_runs": rle_runs, "index_runs": index_runs,
     "event_ranks": event_ranks, "scan_orders_cost": scan_orders_cost, "separable_test": separable_test, "separable_delta": separable_delta,
     "gray_model_slope": gray_model_slope, "gray_model_phase": gray_model_phase, "pattern_dictionary": pattern_dictionary, "block_refs": block_refs,
     "block_ops": block_ops, "block_scores": block_scores, "prefix_sum2d": prefix_sum2d, "frame_delta": frame_delta, "frame_types": frame_types,
-    "frame_timeline": frame_timeline, "move_votes": move_votes,
+    "frame_timeline": frame_timeline, "move_votes": move_votes, "move_votes_all": move_votes_all,
 }
 ORACLES = {
     "palette_lex": PALETTE_LEX, "palette_luma": PALETTE_LUMA, "index_histogram": INDEX_HISTOGRAM, "rle_runs": RLE_RUNS, "index_runs": INDEX_RUNS,
     "event_ranks": EVENT_RANKS, "scan_orders_cost": _orders_sql(), "separable_test": SEPARABLE_TEST, "separable_delta": SEPARABLE_DELTA,
     "gray_model_slope": GRAY_MODEL_SLOPE, "gray_model_phase": GRAY_MODEL_PHASE, "pattern_dictionary": PATTERN_DICTIONARY, "block_refs": BLOCK_REFS,
     "block_ops": _ops_sql(), "block_scores": BLOCK_SCORES, "prefix_sum2d": PREFIX_SUM2D, "frame_delta": FRAME_DELTA, "frame_types": FRAME_TYPES,
-    "frame_timeline": FRAME_TIMELINE, "move_votes": MOVE_VOTES,
+    "frame_timeline": FRAME_TIMELINE, "move_votes": MOVE_VOTES, "move_votes_all": MOVE_VOTES_ALL,
 }

@@ -129,3 +129,12 @@ def test_every_frame_is_round_tripped(spark):
     rows = catalogue.QUERIES["roundtrip_anim"](spark, DATA).collect()
     assert len(rows) == len({(r.anim, r.frame) for r in rows}) == -(-lines // 32) and all(r.exact for r in rows)
     assert all(r.got_delay == r.frame * 10 or r.frame == 0 for r in rows) and max(r.frame for r in rows) < 8
+
+
+@needs_data
+def test_votes_cover_all_lines(spark):
+    lines = spark.read.parquet(f"{DATA}/embeddings.parquet").count()
+    rows = catalogue.QUERIES["move_votes_all"](spark, DATA).collect()
+    assert {r.anim for r in rows if (r.dx, r.dy) == (2, 1)} == set(range(-(-lines // 50)))
+    votes = lambda found: sorted((r.frame, r.dx, r.dy, r.votes) for r in found)
+    assert votes(r for r in rows if r.anim == 0) == votes(catalogue.QUERIES["move_votes"](spark, DATA).collect())
