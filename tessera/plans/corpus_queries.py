@@ -72,6 +72,14 @@ def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 SAFE_NAMES = r"""
 SELECT doc_id, coalesce(nullif(trim(regexp_replace(regexp_replace(substring(text, 1, 12) || '.png', '\.[^.]*$', ''), '[^A-Za-z0-9._]+', '_', 'g'), '_'), ''), 'image') AS stem FROM documents"""
 
+
+def safe_names_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names from whole texts."""
+    return _documents(spark, sf_dir).select("doc_id", corpus.safe_stem(F.concat("text", F.lit(".png"))).alias("stem"))
+
+
+SAFE_NAMES_ALL = SAFE_NAMES.replace("substring(text, 1, 12)", "text")
+
 _RESULTS = """
     l_returnflag || l_linestatus AS category, CASE WHEN l_linenumber % 2 = 0 THEN 'RGB' ELSE 'RGBA' END AS model, CAST(l_quantity AS BIGINT) * 1000 AS pixels,
     CAST(l_orderkey % 4096 AS BIGINT) + 1000 AS a_bytes, CAST(l_partkey % 4096 AS BIGINT) + 1000 AS b_bytes, CAST(l_suppkey * 37 % 4096 AS BIGINT) + 1000 AS c_bytes,
@@ -143,12 +151,12 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 LABELLED_DOCUMENTS = "SELECT lang, doc_id IN (SELECT doc_id FROM labels) AS listed, count(*) AS n FROM documents GROUP BY ALL"
 
 QUERIES = {
-    "corpus_dedup": corpus_dedup, "corpus_excluded": corpus_excluded, "corpus_topn": corpus_topn, "corpus_rollup": corpus_rollup, "safe_names": safe_names,
+    "corpus_dedup": corpus_dedup, "corpus_excluded": corpus_excluded, "corpus_topn": corpus_topn, "corpus_rollup": corpus_rollup, "safe_names": safe_names, "safe_names_all": safe_names_all,
     "codec_summary": codec_summary, "category_compare": category_compare, "color_model_compare": color_model_compare, "win_counts": win_counts,
     "equal_weight_mean": equal_weight_mean, "labelled_documents": labelled_documents,
 }
 ORACLES = {
-    "corpus_dedup": CORPUS_DEDUP, "corpus_excluded": CORPUS_EXCLUDED, "corpus_topn": CORPUS_TOPN, "corpus_rollup": CORPUS_ROLLUP, "safe_names": SAFE_NAMES,
+    "corpus_dedup": CORPUS_DEDUP, "corpus_excluded": CORPUS_EXCLUDED, "corpus_topn": CORPUS_TOPN, "corpus_rollup": CORPUS_ROLLUP, "safe_names": SAFE_NAMES, "safe_names_all": SAFE_NAMES_ALL,
     "codec_summary": CODEC_SUMMARY, "category_compare": _compare_sql("category"), "color_model_compare": _compare_sql("model"), "win_counts": WIN_COUNTS,
     "equal_weight_mean": EQUAL_WEIGHT_MEAN, "labelled_documents": LABELLED_DOCUMENTS,
 }

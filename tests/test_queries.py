@@ -1,6 +1,7 @@
 """Registered queries against their SQL on the smallest tables, and properties that SQL does not show."""
 
 import os
+import re
 from pathlib import Path
 
 import numpy as np
@@ -138,3 +139,10 @@ def test_votes_cover_all_lines(spark):
     assert {r.anim for r in rows if (r.dx, r.dy) == (2, 1)} == set(range(-(-lines // 50)))
     votes = lambda found: sorted((r.frame, r.dx, r.dy, r.votes) for r in found)
     assert votes(r for r in rows if r.anim == 0) == votes(catalogue.QUERIES["move_votes"](spark, DATA).collect())
+
+
+@needs_data
+def test_names_of_whole_texts(spark):
+    stems = {r.doc_id: r.stem for r in catalogue.QUERIES["safe_names_all"](spark, DATA).collect()}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
+    assert stems.keys() == texts.keys() and all(re.fullmatch("[A-Za-z0-9._]+", s) for s in stems.values()) and max(map(len, stems.values())) > 1000
