@@ -37,7 +37,7 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray,
     """Each text's distinct k-word shingles as sorted 64-bit hashes, one text after another, and where each begins (n + 1
     long). A-Z count as a-z. A text of fewer words has one shingle, all of them; of none, none."""
     start, end, first = ww.words(buf, off)
-    word, n = ww.span(ww.prefix(buf, ww.FOLD), start, end), np.diff(first)
+    word, n = ww.span(ww.prefix(ww.LOWER[buf]), start, end), np.diff(first)
     count = np.where(n >= k, n - k + 1, np.minimum(n, 1))
     at = np.concatenate([[0], np.cumsum(count)])
     out, rest = np.empty(at[-1], U64), np.ones(at[-1], bool)
@@ -58,6 +58,32 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray,
     return out[new], np.concatenate([[0], np.cumsum(new)])[at]
 
 
+def exact_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same sets with a number for each distinct shingle in the place of its hash: two shingles have one number only if their words are
+    equal."""
+    number: dict[bytes, int] = {}
+    word, count = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for _, _, buf, off in ww.blocks(texts):
+        buf = ww.LOWER[buf]
+        start, end, first = ww.words(buf, off)
+        one, kind = ww.numbered(buf, start, end)
+        word.append(np.array([number.setdefault(buf[a:b].tobytes(), len(number)) for a, b in zip(start[one].tolist(), end[one].tolist())], np.int64)[kind])
+        count.append(np.diff(first))
+    word, n = np.concatenate(word), np.concatenate(count)
+    first = np.concatenate([[0], np.cumsum(n)])
+    run = word
+    for j in range(1, k):
+        run = ww.pairs(run[: len(word) - j], word[j:])
+    owner = ww.owner(first)
+    whole = np.flatnonzero(owner[: len(run)] == owner[k - 1 : k - 1 + len(run)])
+    short: dict[bytes, int] = {}
+    few = np.flatnonzero((n > 0) & (n < k))
+    few_code = np.array([short.setdefault(word[first[i] : first[i + 1]].tobytes(), len(short)) for i in few.tolist()], np.int64) + len(word)
+    codes = len(word) + len(short) + 1
+    both = np.unique(np.concatenate([owner[whole] * codes + run[whole], few * codes + few_code]))
+    return both % codes, np.searchsorted(both, np.arange(len(n) + 1) * codes)
+
+
 def collections(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
     """2 * BANDS hashes for each set: the first collection, then the second. Sets must not be empty."""
     n = len(at) - 1
@@ -160,13 +186,9 @@ def confirmed_edges(docs: DataFrame, members: DataFrame, k: int, percent: int) -
     connect, beyond what equal `comp` already does. docs: doc_id and text."""
 
     def solve(rows: dict[str, list], texts: list[pa.Array]) -> pa.RecordBatch:
-        sets, ends = [], [np.zeros(1, np.int64)]
-        for _, _, buf, off in ww.blocks(pa.concat_arrays(texts)):
-            part, at = shingle_sets(buf, off, k)
-            sets.append(part)
-            ends.append(at[1:] + ends[-1][-1])
+        sets, at = exact_sets(pa.concat_arrays(texts), k)
         ids, ask = np.array(rows["rep"], np.int64), np.array(rows["ask"], bool)
-        to = ids[link(np.concatenate(sets), np.concatenate(ends), percent, np.array(rows["comp"], np.int64), None if ask.all() else ask)]
+        to = ids[link(sets, at, percent, np.array(rows["comp"], np.int64), None if ask.all() else ask)]
         return pa.RecordBatch.from_arrays([pa.array(ids[ids != to]), pa.array(to[ids != to])], ["a", "b"])
 
     @ww.tidy

@@ -42,14 +42,9 @@ def _running(flags: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A number for each distinct pair."""
-    return np.unique(a * (int(b.max(initial=0)) + 1) + b, return_inverse=True)[1]
-
-
 def text_stats(buf: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     """The columns of STATS for a block of texts."""
-    n, sums = len(off) - 1, ww.prefix(buf)
+    n = len(off) - 1
     start, end, first = ww.words(buf, off)
     chars = _per_text(_running(((buf & 0xC0) != 0x80) & ~ww.SPACE[buf]), off)
     symbols = _per_text(_running(SYMBOL[buf]), off)
@@ -63,20 +58,20 @@ def text_stats(buf: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
     solid = np.searchsorted(start, b) > np.searchsorted(start, a)
     a, b = a[solid], b[solid]
     text = np.searchsorted(off, a, "right") - 1
-    line = np.unique(ww.span(sums, a, b), return_inverse=True)[1]
+    line = ww.numbered(buf, a, b)[1]
     lines = np.bincount(text, minlength=n)
     kinds = np.sort(text * (len(line) + 1) + line)
     kinds = kinds[np.append(True, kinds[1:] != kinds[:-1])] if len(kinds) else kinds
     duplicates = lines - np.bincount(kinds // (len(line) + 1), minlength=n)
     # words: numbers for runs of 1, 2, 4 and then 8 words, exact by construction
     owner = ww.owner(first)
-    run = np.unique(ww.span(sums, start, end), return_inverse=True)[1]
+    run = ww.numbered(buf, start, end)[1]
     for step in (1, 2, 4):
-        run = _pairs(run[:-step], run[step:]) if len(run) > step else run[:0]
+        run = ww.pairs(run[:-step], run[step:]) if len(run) > step else run[:0]
     repeated = np.zeros(len(start) + 1, np.int64)
     if len(run):
         inside = np.flatnonzero(owner[: len(run)] == owner[7 : 7 + len(run)])
-        key = _pairs(owner[inside], run[inside])
+        key = ww.pairs(owner[inside], run[inside])
         twice = inside[np.bincount(key)[key] > 1]
         np.add.at(repeated, twice, 1)
         np.add.at(repeated, twice + 8, -1)

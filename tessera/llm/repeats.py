@@ -6,18 +6,20 @@ leaves it alone.
 
 The first digit is chosen so that few rows need to move. Of a string's `GRAM`-byte grams it is the one of least hash:
 neighbouring strings mostly have it in common, so a run of them, held as one range of a text, is one row of a few numbers.
-Rows are counted by that digit, and those whose digit occurs once are done. Of the others, ranges of equal bytes in full are repeated
-as they stand. Only ranges that share their first digit but differ, one of each kind, have their bytes moved to a task,
-where passes over the next digits, ever wider, order the strings in them; the last step compares bytes. A first digit with more than
-`HOT` kinds of ranges isn't put into one task: its strings become rows, counted by a 128-bit digit over all their bytes.
+Rows are counted by that digit, and those whose digit occurs once are done. Of the others, ranges that are equal in full, by a
+cryptographic digest of 128 bits, are repeated as they stand. Only ranges that share their first digit but differ, one of each kind,
+have their bytes moved to a task, where passes over the next digits, ever wider, order the strings in them; the last step compares bytes.
+A first digit with more than `HOT` kinds of ranges isn't put into one task: its strings become rows, counted by two independent
+hashes over all their bytes, each modulo 2 ** 61 - 1.
 
 Where a number of words is asked for too, passages of so many words go through the same steps as strings do, with words in the place of
-bytes; white space between them doesn't count. Their last step compares 128 bits of digest.
+bytes; white space between them doesn't count. In a task, words and then passages are numbered by their bytes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -48,21 +50,39 @@ def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (n - done)], x[n - done :]) if done < n else x
 
 
-def word_sums(buf: np.ndarray, start: np.ndarray, end: np.ndarray, table: np.ndarray = ww.BYTE) -> np.ndarray:
+def word_sums(buf: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = 0) -> np.ndarray:
     """Running sums over words, as `prefix` has them over bytes."""
-    out = np.zeros(len(start) + 1, U64)
-    np.cumsum(ww.span(ww.prefix(buf, table), start, end) * ww.powers(ww.BASE, len(start)), out=out[1:])
-    return out
+    return ww.prefix(ww.span(ww.prefix(buf, base), start, end, base) % U64(ww.PRIME), base)
+
+
+def word_grams(buf: np.ndarray, start: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every n words."""
+    at = np.arange(max(len(start) - n + 1, 0))
+    return ww.span(word_sums(buf, start, end), at, at + n)
+
+
+def single_spaced(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words with one space after each, and where each begins (n + 1 long)."""
+    at = np.concatenate([[0], np.cumsum(end - start + 1)])
+    out = np.full(at[-1], 32, np.uint8)
+    solid = np.ones(at[-1], bool)
+    solid[at[1:] - 1] = False
+    out[solid] = buf[np.repeat(start - at[:-1], end - start) + np.flatnonzero(solid)]
+    return out, at
 
 
-def ranges(sums: np.ndarray, off: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Runs of strings with the same first digit: text, start in the block, strings, first digit, hash of the range, and
-    whether the digit's gram occurs twice in the range (so that strings in it may be equal). sums: over bytes or words."""
-    gram = min(gram, width)
-    n = len(sums) - gram
-    if len(sums) - 1 < width:
-        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, U64, U64, bool))
-    grams = ww.span(sums, np.arange(n), np.arange(gram, n + gram))
+def digests(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128 bits of digest of each buf[start:end], as two columns."""
+    data = memoryview(buf)
+    found = b"".join([blake2b(data[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist())])
+    return np.frombuffer(found, np.int64).reshape(-1, 2)
+
+
+def ranges(grams: np.ndarray, off: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Runs of strings with the same first digit: text, start in the block, strings, first digit, and whether the digit's gram occurs
+    twice in the range (so that strings in it may be equal). grams: a hash of every `gram` bytes, or words."""
+    if len(grams) - 1 + gram < width:
+        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, U64, bool))
     least = _sliding_min(grams, width - gram + 1)
     inside = np.zeros(len(least) + 1, np.int8)
     long_ = np.flatnonzero(np.diff(off) >= width)
@@ -89,12 +109,13 @@ def ranges(sums: np.ndarray, off: np.ndarray, width: int, gram: int) -> tuple[np
     places = np.sort((kind[same] << 40) + where[same])
     first = (rank << 40) + start
     twice = np.searchsorted(places, first + size + width - gram) - np.searchsorted(places, first) > 1
-    return text, start, size, value, ww.span(sums, start, start + size + width - 1), twice
+    return text, start, size, value, twice
 
 
 def all_ranges(docs: DataFrame, width: int, words: int = 0) -> DataFrame:
-    """docs: doc_id, key, text. A row per range: doc_id, key, start and size in bytes, n, a (first digit), c (hash of the range), twice,
-    words (whether it is one of passages)."""
+    """docs: doc_id, key, text. A row per range: doc_id, key, start and size in bytes, n, a (first digit), c and c2 (digest of the range),
+    twice, words (whether it is one of passages)."""
+    gram, word_gram = min(GRAM, width), min(WORD_GRAM, words)
 
     def segments(buf: np.ndarray) -> Iterator[int]:
         yield from range(0, max(1, len(buf) - width + 1), SEGMENT)
@@ -103,17 +124,20 @@ def all_ranges(docs: DataFrame, width: int, words: int = 0) -> DataFrame:
         for x in segments(buf) if long_ else [0]:
             piece = buf[x : x + SEGMENT + width - 1] if long_ else buf
             edge = np.array([0, len(piece)]) if long_ else off
-            text, start, n, a, c, twice = ranges(ww.prefix(piece), edge, width, GRAM)
-            yield text, start - edge[text] + x, n + width - 1, n, a, c, twice, False
+            if len(piece) >= width:
+                text, start, n, a, twice = ranges(ww.quick_hashes(piece, gram), edge, width, gram)
+                size = n + width - 1
+                yield text, start - edge[text] + x, size, n, a, digests(piece, start, start + size), twice, False
 
     def passages(buf: np.ndarray, off: np.ndarray, long_: bool) -> Iterator[tuple]:
         begin, stop, first = ww.words(buf, off)
         for x in range(0, len(begin) - words + 1, SEGMENT // 4 if long_ else max(len(begin), 1)):
             b, e = (v[x : x + SEGMENT // 4 + words - 1] if long_ else v for v in (begin, stop))
-            sums = word_sums(buf[b[0] : e[-1]], b - b[0], e - b[0])
-            text, at, n, a, c, twice = ranges(sums, np.array([0, len(b)]) if long_ else first, words, WORD_GRAM)
-            start = b[at]
-            yield text, start - off[text], e[at + n + words - 2] - start, n, a ^ SALT, c, twice, True
+            grams = word_grams(buf[b[0] : e[-1]], b - b[0], e - b[0], word_gram)
+            text, at, n, a, twice = ranges(grams, np.array([0, len(b)]) if long_ else first, words, word_gram)
+            line, place = single_spaced(buf, b, e)
+            start, last = b[at], at + n + words - 1
+            yield text, start - off[text], e[last - 1] - start, n, a ^ SALT, digests(line, place[at], place[last]), twice, True
 
     @ww.tidy
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,11 +149,11 @@ def all_ranges(docs: DataFrame, width: int, words: int = 0) -> DataFrame:
                             continue
                         rows = pa.array(text + first)
                         yield pa.RecordBatch.from_arrays(
-                            [batch.column("doc_id").take(rows), batch.column("key").take(rows), pa.array(start), pa.array(size), pa.array(n.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(twice), pa.array(np.full(len(text), is_words))],
-                            ["doc_id", "key", "start", "size", "n", "a", "c", "twice", "words"],
+                            [batch.column("doc_id").take(rows), batch.column("key").take(rows), pa.array(start), pa.array(size), pa.array(n.astype(np.int32)), pa.array(a.view(np.int64)), pa.array(c[:, 0].copy()), pa.array(c[:, 1].copy()), pa.array(twice), pa.array(np.full(len(text), is_words))],
+                            ["doc_id", "key", "start", "size", "n", "a", "c", "c2", "twice", "words"],
                         )
 
-    return docs.mapInArrow(task, "doc_id long, key long, start long, size long, n int, a long, c long, twice boolean, words boolean")
+    return docs.mapInArrow(task, "doc_id long, key long, start long, size long, n int, a long, c long, c2 long, twice boolean, words boolean")
 
 
 def equal_strings(buf: np.ndarray, start: np.ndarray, group: np.ndarray, width: int) -> np.ndarray:
@@ -173,12 +197,21 @@ def _word(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def passages_in(buf: np.ndarray, off: np.ndarray, n: np.ndarray, words: int) -> tuple[np.ndarray, ...]:
-    """Of ranges of n passages: range, first and last byte in the block, and two digests of each passage."""
+    """Of ranges of n passages: range, first word, first and last byte in the block of each passage; and all words' first and last bytes."""
     begin, stop, first = ww.words(buf, off)
     of = np.repeat(np.arange(len(n)), n)
     at = first[of] + np.arange(len(of)) - (np.cumsum(n) - n)[of]
-    digests = (ww.span(word_sums(buf, begin, stop, t), at, at + words) for t in (ww.BYTE, ww.ODD[256:512]))
-    return of, begin[at], stop[at + words - 1], *digests
+    return of, at, begin[at], stop[at + words - 1], begin, stop
+
+
+def numbered_runs(number: np.ndarray, words: int) -> np.ndarray:
+    """A number for every run of so many words, equal if and only if all their numbers are."""
+    run, have = number, 1
+    while have < words:
+        step = min(have, words - have)
+        run = ww.pairs(run[:-step], run[step:])
+        have += step
+    return run
 
 
 def resolve(kinds: DataFrame, width: int, words: int = 0) -> DataFrame:
@@ -187,13 +220,10 @@ def resolve(kinds: DataFrame, width: int, words: int = 0) -> DataFrame:
 
     def solve_words(rows: dict[str, list]) -> pa.RecordBatch:
         off = np.cumsum([0] + [len(b) for b in rows["bytes"]])
-        of, begin, stop, h1, h2 = passages_in(np.frombuffer(b"".join(rows["bytes"]), np.uint8), off, np.array(rows["n"], np.int64), words)
-        order = np.lexsort((h2, h1))
-        new = np.append(True, (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1]))[: len(order)]
-        number = np.cumsum(new) - 1
-        hit = np.zeros(len(of), bool)
-        hit[order] = np.bincount(number)[number] > 1
-        hit &= np.array(rows["once"], bool)[of]
+        buf = np.frombuffer(b"".join(rows["bytes"]), np.uint8)
+        of, at, begin, stop, *every = passages_in(buf, off, np.array(rows["n"], np.int64), words)
+        number = numbered_runs(ww.numbered(buf, *every)[1], words)[at]
+        hit = (np.bincount(number)[number] > 1) & np.array(rows["once"], bool)[of]
         place, row = np.flatnonzero(hit), of[hit]
         head = np.flatnonzero(np.append(True, (place[1:] != place[:-1] + 1) | (row[1:] != row[:-1]))[: len(place)])
         last = np.append(head[1:], len(place))[: len(head)] - 1
@@ -238,7 +268,7 @@ def resolve(kinds: DataFrame, width: int, words: int = 0) -> DataFrame:
 
 
 def _string_rows(width: int, words: int = 0):
-    """For ranges under a hot first digit: a row per string or passage, with 128 bits of digest."""
+    """For ranges under a hot first digit: a row per string or passage, with two hashes of it."""
 
     @ww.tidy
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,11 +277,11 @@ def _string_rows(width: int, words: int = 0):
             for n, once, doc, key, start, is_words, data in zip(*(batch.column(c).to_pylist() for c in names)):
                 buf, p = np.frombuffer(data, np.uint8), np.arange(n)
                 if is_words:
-                    _, p, end, *digests = passages_in(buf, np.array([0, len(buf)]), np.array([n]), words)
-                    digests[0] = digests[0] ^ SALT
+                    _, at, p, end, *every = passages_in(buf, np.array([0, len(buf)]), np.array([n]), words)
+                    hashes = [ww.span(word_sums(buf, *every, b), at, at + words, b) ^ SALT for b in (0, 1)]
                 else:
-                    digests, end = [ww.span(ww.prefix(buf, t), p, p + width) for t in (ww.BYTE, ww.ODD[256:512])], p + width
-                yield pa.RecordBatch.from_arrays([*(pa.array(d.view(np.int64)) for d in digests), pa.array([doc] * n, pa.int64()), pa.array([key] * n, pa.int64()), pa.array(p + start), pa.array(end + start), pa.array([once] * n)], ["h1", "h2", "doc_id", "key", "start", "end", "once"])
+                    hashes, end = [ww.span(ww.prefix(buf, b), p, p + width, b) for b in (0, 1)], p + width
+                yield pa.RecordBatch.from_arrays([*(pa.array(h.view(np.int64)) for h in hashes), pa.array([doc] * n, pa.int64()), pa.array([key] * n, pa.int64()), pa.array(p + start), pa.array(end + start), pa.array([once] * n)], ["h1", "h2", "doc_id", "key", "start", "end", "once"])
 
     return task
 
@@ -268,9 +298,10 @@ def repeated_spans(docs: DataFrame, width: int = 400, words: int = 0) -> DataFra
     often = found.groupBy("a").agg(F.count("*").alias("m"), F.bool_or("twice").alias("t")).filter("m > 1 OR t").select("a")
     often = written(often, "shared-digits")  # a table of its own, so that Spark can split the join at a hot digit
     found = written(found.join(often, "a", "left_semi"), "shared-ranges")
-    kinds = found.groupBy("a", "c", "n").agg(F.count("*").alias("m"), F.bool_or("twice").alias("twice"), F.min(F.struct("doc_id", "key", "start", "size", "words")).alias("one"))
+    same = ["a", "c", "c2", "n"]
+    kinds = found.groupBy(*same).agg(F.count("*").alias("m"), F.bool_or("twice").alias("twice"), F.min(F.struct("doc_id", "key", "start", "size", "words")).alias("one"))
     kinds = written(kinds, "kinds")
-    whole = found.join(kinds.filter("m > 1").select("a", "c", "n"), ["a", "c", "n"], "left_semi").select("doc_id", "key", "start", (F.col("start") + F.col("size")).alias("end"))
+    whole = found.join(kinds.filter("m > 1").select(*same), same, "left_semi").select("doc_id", "key", "start", (F.col("start") + F.col("size")).alias("end"))
     differ = kinds.groupBy("a").agg(F.count("*").alias("kinds"), F.bool_or("twice").alias("inner")).filter("kinds > 1 OR inner")
     differ = written(differ, "differing-digits")
     differ = kinds.join(differ, "a").select("a", "n", (F.col("m") == 1).alias("once"), "kinds", "one.*")

@@ -3,7 +3,7 @@
 Encoding a text is the same as encoding, one after another, units that the tokenizer
 never looks across: a run of ASCII white space with what follows it up to the next one,
 cut once more where leading letters or digits meet ASCII punctuation. Distinct units are few: those of a block of
-texts are told apart by a hash (and by their length and first and last eight bytes), looked up in a cache, and the
+texts are told apart by their bytes, looked up by them in a cache, and the
 ids of the block are put together from theirs. A text in which units aren't certain to be
 independent (other white space, a special token's name) is encoded whole.
 """
@@ -51,14 +51,6 @@ def units(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return starts, ends, np.searchsorted(starts, off, "left")
 
 
-def _eight(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place on, as numbers."""
-    out = np.zeros(len(at), ww.U64)
-    for i in range(8):
-        out |= buf[at + i].astype(ww.U64) << ww.U64(8 * i)
-    return out
-
-
 class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -66,8 +58,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[int, bytes] = {}
-        self.older: dict[int, bytes] = {}
+        self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -98,12 +90,9 @@ class Encoder:
         start, end, first = units(buf, off)
         if not len(start):
             return np.empty(0, np.uint32), np.zeros(len(off), np.int64)
-        key, one, same = np.unique(ww.span(ww.prefix(buf), start, end), return_index=True, return_inverse=True)
-        head, tail = self._ends(buf, start, end)
-        if not (np.array_equal(head, head[one][same]) and np.array_equal(tail, tail[one][same])):  # two units share a hash
-            key, one, same = np.arange(len(start)), np.arange(len(start)), np.arange(len(start))
-            self.cache, self.older = {}, {}
-        found = self._find(key.tolist(), buf, start[one], end[one])
+        one, same = ww.numbered(buf, start, end)
+        raw = buf.tobytes()
+        found = self._find([raw[a:b] for a, b in zip(start[one].tolist(), end[one].tolist())])
         size = np.array([len(x) for x in found], np.int64) // 4
         pool = np.frombuffer(b"".join(found), np.uint32)
         place = np.cumsum(size) - size
@@ -112,16 +101,7 @@ class Encoder:
         ids = pool[np.repeat(place[same] - upto[:-1], n) + np.arange(upto[-1])]
         return ids, upto[first]
 
-    @staticmethod
-    def _ends(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """What tells units apart beside their hash: length and first bytes, and last bytes."""
-        size = end - start
-        padded = np.concatenate([buf, np.zeros(8, np.uint8)])
-        mask = ww.powers(ww.U64(256), 8)[np.minimum(size, 7)] - ww.U64(1)
-        mask[size > 7] = ~ww.U64(0)
-        return (_eight(padded, start) & mask) + size.astype(ww.U64), _eight(padded, np.maximum(end - 8, start)) & mask
-
-    def _find(self, keys: list[int], buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[bytes]:
+    def _find(self, keys: list[bytes]) -> list[bytes]:
         cache = self.cache
         found = [cache.get(k) for k in keys]
         absent = [i for i, x in enumerate(found) if x is None]
@@ -135,11 +115,9 @@ class Encoder:
                 new.append(i)
             else:
                 cache[keys[i]] = x
-        raw = buf.tobytes() if new else b""
         for j in range(0, len(new), 20_000):
             part = new[j : j + 20_000]
-            texts = [raw[start[i] : end[i]].decode("utf-8", "replace") for i in part]
-            for i, ids in zip(part, self.whole(texts)):
+            for i, ids in zip(part, self.whole([keys[i].decode("utf-8", "replace") for i in part])):
                 cache[keys[i]] = found[i] = np.array(ids, np.uint32).tobytes()
         return found
 
