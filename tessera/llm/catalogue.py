@@ -10,10 +10,13 @@ from tessera.llm import metric_tree, mixing, near_duplicates, packing, quality_c
 from tessera.llm.common import read, written
 from tessera.llm.tokens import tokenizer_path
 
+#: A passage of over 50 words, in words; they are counted beside the removed strings, for most have less than 400 bytes.
+PASSAGE = 51
+
 
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = repeats.remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text"))
-    return docs.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    docs = repeats.remove_repeats(read(spark, sf_dir, "documents", "doc_id", "text"), words=PASSAGE, cut=False)
+    return docs.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_passage_words")
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

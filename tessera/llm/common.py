@@ -48,9 +48,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def parts(spark: SparkSession, n_bytes: int, each: int) -> int:
-    """Partitions of about `each` bytes, as many as the session shuffles to at least."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // each))
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that df has already."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        out.append(name)
+    return out
 
 
 def crc_mod(column: str, n: int) -> Column:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words as ww
-from tessera.llm.common import written
+from tessera.llm.common import unused, written
 
 GRAM = 100
 #: The same in words.
@@ -281,7 +281,7 @@ def _string_rows(width: int, words: int = 0):
                     hashes = [ww.span(word_sums(buf, *every, b), at, at + words, b) ^ SALT for b in (0, 1)]
                 else:
                     hashes, end = [ww.span(ww.prefix(buf, b), p, p + width, b) for b in (0, 1)], p + width
-                yield pa.RecordBatch.from_arrays([*(pa.array(h.view(np.int64)) for h in hashes), pa.array([doc] * n, pa.int64()), pa.array([key] * n, pa.int64()), pa.array(p + start), pa.array(end + start), pa.array([once] * n)], ["h1", "h2", "doc_id", "key", "start", "end", "once"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(h.view(np.int64)) for h in hashes), pa.array([doc] * n, pa.int64()), pa.array([key] * n, pa.int64()), pa.array(p + start), pa.array(end + start), pa.array([once] * n), pa.array([is_words] * n)], ["h1", "h2", "doc_id", "key", "start", "end", "once", "words"])
 
     return task
 
@@ -291,8 +291,8 @@ def with_key(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, width: int = 400, words: int = 0) -> DataFrame:
-    """A row per document with repeated strings: doc_id, key (hash of its text) and spans, an array of (start, end) bytes,
-    which may overlap."""
+    """A row per document with repeated strings: doc_id, key (hash of its text) and spans, an array of (start, end) bytes and whether it is
+    one of passages; they may overlap."""
     docs = with_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     found = written(all_ranges(docs, width, words), "ranges")
     often = found.groupBy("a").agg(F.count("*").alias("m"), F.bool_or("twice").alias("t")).filter("m > 1 OR t").select("a")
@@ -301,7 +301,7 @@ def repeated_spans(docs: DataFrame, width: int = 400, words: int = 0) -> DataFra
     same = ["a", "c", "c2", "n"]
     kinds = found.groupBy(*same).agg(F.count("*").alias("m"), F.bool_or("twice").alias("twice"), F.min(F.struct("doc_id", "key", "start", "size", "words")).alias("one"))
     kinds = written(kinds, "kinds")
-    whole = found.join(kinds.filter("m > 1").select(*same), same, "left_semi").select("doc_id", "key", "start", (F.col("start") + F.col("size")).alias("end"))
+    whole = found.join(kinds.filter("m > 1").select(*same), same, "left_semi").select("doc_id", "key", "start", (F.col("start") + F.col("size")).alias("end"), "words")
     differ = kinds.groupBy("a").agg(F.count("*").alias("kinds"), F.bool_or("twice").alias("inner")).filter("kinds > 1 OR inner")
     differ = written(differ, "differing-digits")
     differ = kinds.join(differ, "a").select("a", "n", (F.col("m") == 1).alias("once"), "kinds", "one.*")
@@ -312,63 +312,75 @@ def repeated_spans(docs: DataFrame, width: int = 400, words: int = 0) -> DataFra
     cut = F.substring(F.col("text"), (F.col("w.start") + 1).cast("int"), F.col("w.size").cast("int"))
     texts = written(one.select("doc_id", "key", "w.*", cut.alias("bytes")), "range-bytes")
     usual = lambda kind: texts.filter((F.col("kinds") <= HOT) & kind).repartition("a").sortWithinPartitions("a", "doc_id", "start")
-    spans = whole.unionByName(resolve(usual(~F.col("words")), width))
+    spans = whole.unionByName(resolve(usual(~F.col("words")), width).withColumn("words", F.lit(False)))
     if words:
-        spans = spans.unionByName(resolve(usual(F.col("words")), width, words))
+        spans = spans.unionByName(resolve(usual(F.col("words")), width, words).withColumn("words", F.lit(True)))
     hot = texts.filter(F.col("kinds") > HOT)
     if not hot.isEmpty():
-        strings = written(hot.select("n", "once", "doc_id", "key", "start", "words", "bytes").mapInArrow(_string_rows(width, words), "h1 long, h2 long, doc_id long, key long, start long, end long, once boolean"), "strings")
+        strings = written(hot.select("n", "once", "doc_id", "key", "start", "words", "bytes").mapInArrow(_string_rows(width, words), "h1 long, h2 long, doc_id long, key long, start long, end long, once boolean, words boolean"), "strings")
         twice = strings.groupBy("h1", "h2").agg(F.count("*").alias("m")).filter("m > 1").select("h1", "h2")
         again = strings.filter("once").join(twice, ["h1", "h2"], "left_semi")
-        spans = spans.unionByName(again.select("doc_id", "key", "start", "end"))
-    return spans.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+        spans = spans.unionByName(again.select("doc_id", "key", "start", "end", "words"))
+    return spans.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "end", "words")).alias("spans"))
 
 
-def remove_repeats(docs: DataFrame, width: int = 400, words: int = 0) -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary, what remains).
+def remove_repeats(docs: DataFrame, width: int = 400, words: int = 0, cut: bool = True) -> DataFrame:
+    """docs with n_bytes, n_removed, n_spans (maximal removed runs), n_passage_words and kept (binary, what remains).
 
     Every byte goes that a string of `width` bytes covers which also starts anywhere else, in the same text or another; strings are judged on
     the texts as they come. docs: doc_id (integer), text and any other columns, which stay but for those of the names above.
     Null text is empty. Rows with equal doc_id are documents of their own, equal rows repeat each other. A text
     shorter than `width` loses nothing. An empty table gives no rows.
 
-    With `words`, every byte also goes that lies in a passage of so many words which also starts anywhere else; words are what white space
-    of ASCII separates, and the space around a passage stays.
+    With `words`, passages of so many words that also start anywhere else are found too; words are what white space of ASCII separates.
+    n_passage_words counts the words in them (0 without `words`). Their bytes go as well, unless `cut` is false; the space around a
+    passage stays.
     """
-    new = ("n_bytes", "n_removed", "n_spans", "kept")
+    new = ("n_bytes", "n_removed", "n_spans", "n_passage_words", "kept")
     docs = docs.drop(*new)
-    spans = repeated_spans(docs, width, words).withColumnsRenamed({"doc_id": "_d", "key": "_k", "spans": "_spans"})
-    docs = docs.withColumn("_key", F.xxhash64("text"))
-    joined = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_k")), "left").drop("_key", "_d", "_k")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "_key")
+    key, spans_, d, k = unused(docs, "_key", "_spans", "_doc", "_of")
+    spans = repeated_spans(docs, width, words).select(F.col("doc_id").alias(d), F.col("key").alias(k), F.col("spans").alias(spans_))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    docs = docs.withColumn(key, F.xxhash64("text"))
+    joined = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.col(key) == F.col(k)), "left").drop(key, d, k)
+
+    def covered(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        change = np.zeros(n + 1, np.int64)
+        np.add.at(change, start, 1)
+        np.add.at(change, end, -1)
+        return np.cumsum(change[:-1]) > 0
 
     @ww.tidy
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, buf, off in ww.blocks(batch.column("text"), SEGMENT):
-                lists = batch.column("_spans").slice(first, end - first)
-                gone = np.zeros(len(buf) + 1, np.int64)
-                size = np.diff(lists.offsets.to_numpy())
-                if size.sum():
-                    flat = lists.flatten()
-                    base = np.repeat(off[:-1], size)
-                    np.add.at(gone, flat.field("start").to_numpy() + base, 1)
-                    np.add.at(gone, flat.field("end").to_numpy() + base, -1)
-                out = np.cumsum(gone[:-1]) > 0
+                lists = batch.column(spans_).slice(first, end - first)
+                flat, base = lists.flatten(), np.repeat(off[:-1], np.diff(lists.offsets.to_numpy()))
+                a, b, of_words = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("start", "end", "words"))
+                a, b, of_words = a + base, b + base, of_words.astype(bool)
+                passages = covered(len(buf), a[of_words], b[of_words])
+                out = covered(len(buf), a[~of_words], b[~of_words])
+                if cut:
+                    out |= passages
                 before = np.concatenate([[False], out[:-1]])
                 before[off[:-1][off[:-1] < len(buf)]] = False
                 total = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[off])
                 removed, runs, n = total(out), total(out & ~before), np.diff(off)
+                if len(flat):
+                    begin, _, at = ww.words(buf, off)
+                    repeated = np.diff(np.concatenate([[0], np.cumsum(passages[begin])])[at])
+                else:
+                    repeated = np.zeros(len(n), np.int64)
                 left = np.concatenate([[0], np.cumsum(n - removed)])
                 kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(left.astype(np.int64)), pa.py_buffer(buf[~out].tobytes())])
-                names = [c for c in batch.schema.names if c != "_spans"]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, end - first) for c in names), pa.array(n), pa.array(removed), pa.array(runs), kept.cast(pa.binary())], [*names, *new])
+                names = [c for c in batch.schema.names if c != spans_]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, end - first) for c in names), pa.array(n), pa.array(removed), pa.array(runs), pa.array(repeated), kept.cast(pa.binary())], [*names, *new])
 
-    return joined.mapInArrow(task, f"{schema}, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(task, f"{schema}, n_bytes long, n_removed long, n_spans long, n_passage_words long, kept binary")
 
 
-def sql(width: int = 400) -> str:
-    """The same in SQL over hexadecimal digits, for small tables with distinct doc_id."""
+def sql(width: int = 400, words: int = 51) -> str:
+    """The same in SQL over hexadecimal digits and joined words, for small tables with distinct doc_id."""
     return f"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 p AS (SELECT doc_id, i, md5(substring(h, 2 * i + 1, {2 * width})) AS m FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - {width - 1}, 0))) AS i FROM d)),
@@ -377,7 +389,12 @@ n AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY
 g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM n),
 s AS (SELECT doc_id, min(i) AS a, max(i) + {width} AS b FROM g GROUP BY doc_id, g),
 k AS (SELECT s.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substring(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || max(substring(h, 2 * last + 1)) AS kept
-    FROM (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before, max(b) OVER (PARTITION BY doc_id) AS last FROM s) s JOIN d ON d.doc_id = s.doc_id GROUP BY s.doc_id)
-SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
-FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+    FROM (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before, max(b) OVER (PARTITION BY doc_id) AS last FROM s) s JOIN d ON d.doc_id = s.doc_id GROUP BY s.doc_id),
+w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents),
+wp AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + {words - 1}), ' ')) AS m FROM (SELECT doc_id, w, unnest(range(1, len(w) - {words - 2})) AS i FROM w WHERE len(w) >= {words})),
+wr AS (SELECT doc_id, i FROM wp QUALIFY count(*) OVER (PARTITION BY m) > 1),
+wk AS (SELECT doc_id, CAST(sum(least(next - i, {words})) AS BIGINT) AS n FROM (SELECT doc_id, i, lead(i, 1, i + {words}) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM wr) GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256,
+    coalesce(wk.n, 0) AS n_passage_words
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN wk ON wk.doc_id = d.doc_id
 """

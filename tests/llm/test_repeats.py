@@ -69,11 +69,12 @@ def plain_words(texts, n):
     count = Counter(tuple(m.group() for m in ms[i : i + n]) for ms in found for i in range(len(ms) - n + 1))
     out = []
     for t, ms in zip(texts, found):
-        gone = [False] * len(t or "")
+        gone, inside = [False] * len(t or ""), set()
         for i in range(len(ms) - n + 1):
             if count[tuple(m.group() for m in ms[i : i + n])] > 1:
                 gone[ms[i].start() : ms[i + n - 1].end()] = [True] * (ms[i + n - 1].end() - ms[i].start())
-        out.append("".join(c for c, g in zip(t or "", gone) if not g).encode())
+                inside |= set(range(i, i + n))
+        out.append(("".join(c for c, g in zip(t or "", gone) if not g).encode(), len(inside)))
     return out
 
 
@@ -89,7 +90,9 @@ def test_passages_of_words(spark, monkeypatch, hot, segment, span):
     for _ in range(50):
         words_ = [w for _ in range(rng.randint(1, 5)) for w in (rng.choice(passages) if rng.random() < 0.5 else some(rng.randint(1, 15)))]
         texts_.append("".join(w + rng.choice([" ", "\n", "\t  "]) for w in words_))
-    docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string").repartition(4)
-    got = {r.doc_id: bytes(r.kept) for r in repeats.remove_repeats(docs, 100_000, 12).collect()}
+    docs = spark.createDataFrame([(i, t, -1, "x", i) for i, t in enumerate(texts_)], "doc_id long, text string, _key int, _spans string, _d long").repartition(4)
+    got = {r.doc_id: (bytes(r.kept), r.n_passage_words) for r in repeats.remove_repeats(docs, 100_000, 12).collect()}
     want = plain_words(texts_, 12)
-    assert got == dict(enumerate(want)) and sum(len((t or "").encode()) - len(w) for t, w in zip(texts_, want)) > 2000
+    assert got == dict(enumerate(want)) and sum(len((t or "").encode()) - len(w) for t, (w, _) in zip(texts_, want)) > 2000
+    marked = repeats.remove_repeats(docs, 100_000, 12, cut=False).collect()
+    assert all(bytes(r.kept) == (texts_[r.doc_id] or "").encode() and r.n_passage_words == want[r.doc_id][1] and r._key == -1 and r._spans == "x" and r._d == r.doc_id for r in marked)
