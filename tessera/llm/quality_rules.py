@@ -2,13 +2,15 @@
 
 A text's counts come from one pass over its bytes. Ratios of them, as whole numbers, go into a sketch for each language and
 source: counts by value, where values from 64 up share a bucket with those that agree in the first six bits. Sketches merge
-by adding counts, in any order and with the same result, so every executor adds up before the exchange and a small
-group takes its language's sketch, or everyone's. Quartiles read from the sketch give fences far outside the usual values;
+by adding counts, in any order and with the same result, so every executor adds up before the exchange. A group's sketch is merged
+with that of its language, and a language's with everyone's, each scaled to `PRIOR` documents: what a group shows weighs the more
+the larger it is, at every size by the same rule. Quartiles read from the merged sketch give fences far outside the usual values;
 a join brings them back to the documents. A group of clean documents loses none, as fences follow the group's own spread.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +32,9 @@ METRICS = {
     "repeats": ("1000 * n_repeat_words div greatest(n_words, 1)", 6, 6, 30),
     "word_length": ("100 * word_chars div greatest(n_words, 1)", 8, 8, 40),
 }
-#: Documents that a group must have for a sketch of its own.
-LEAST = 500
+#: Documents that the wider sketch counts for beside a group's own.
+PRIOR = 200
+WHOLE = "decimal(38,0)"
 
 
 def _per_text(totals: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -101,29 +104,30 @@ def bucket(value: Column) -> Column:
     return F.when(value < 64, value).otherwise(F.call_function("shiftleft", F.call_function("shiftright", value, shift), shift))
 
 
+def merged(sketch: DataFrame, wider: DataFrame, by: list[str], shared: list[str]) -> DataFrame:
+    """sketch: by, metric, value and n; wider: the same with `shared`, some of `by`, and every value that sketch has. Returns by, metric,
+    value and n: a group's counts and the wider ones, scaled to PRIOR documents, over one denominator, so that n is whole."""
+    of = lambda names: [F.col(c).alias(f"_{c}") for c in names]
+    same = lambda names: functools.reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names))
+    wider = wider.withColumn("total", F.sum("n").over(W.partitionBy(*shared, "metric")).cast(WHOLE)).select(*of([*shared, "metric"]), "value", F.col("n").alias("wide"), "total")
+    groups = sketch.select(*by, "metric").distinct().join(wider, same([*shared, "metric"])).select(*by, "metric", "value", "wide", "total")
+    own = sketch.select(*of([*by, "metric", "value"]), F.col("n").alias("own"))
+    n = F.coalesce("own", F.lit(0)).cast(WHOLE) * F.col("total") + F.lit(PRIOR) * F.col("wide")
+    return groups.join(own, same([*by, "metric", "value"]), "left").select(*by, "metric", "value", n.cast(WHOLE).alias("n"))
+
+
 def fences(stats: DataFrame) -> DataFrame:
     """A row per language and source: lang, source and for each metric a lowest and highest value (both inclusive)."""
     cells = F.array(*(F.struct(F.lit(m).alias("metric"), bucket(F.expr(e).cast("long")).alias("value")) for m, (e, *_) in METRICS.items()))
     sketch = stats.filter(~F.col("base_failed")).select("lang", "source", F.explode(cells).alias("c")).groupBy("lang", "source", "c.metric", "c.value").agg(F.count("*").alias("n"))
-    sketch = sketch.select("lang", "source", "metric", "value", "n")
-
-    def quartiles(*by: str) -> DataFrame:
-        merged = sketch.groupBy(*by, "metric", "value").agg(F.sum("n").alias("n"))
-        group = W.partitionBy(*by, "metric")
-        ranked = merged.withColumn("upto", F.sum("n").over(group.orderBy("value"))).withColumn("all", F.sum("n").over(group))
-        q = lambda p: F.min(F.when(F.col("upto") * 4 >= F.col("all") * p, F.col("value")))
-        low = ranked.groupBy(*by, "metric").agg(q(1).alias("q1"), q(3).alias("q3"), F.max("all").alias("size"))
-        return low.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("metric").alias("_m"), F.struct("size", "q1", "q3").alias("q"))
-
-    groups = sketch.select("lang", "source").distinct().withColumn("metric", F.explode(F.array(*map(F.lit, METRICS))))
-    for name, by in (("own", ("lang", "source")), ("language", ("lang",)), ("all", ())):
-        q = quartiles(*by)
-        on = F.col("metric") == F.col("_m")
-        for c in by:
-            on &= F.col(c).eqNullSafe(F.col(f"_{c}"))
-        groups = groups.join(q, on, "left").drop("_m", *(f"_{c}" for c in by)).withColumnRenamed("q", name)
-    q = F.when(F.col("own.size") >= LEAST, F.col("own")).when(F.col("language.size") >= LEAST, F.col("language")).otherwise(F.col("all"))
-    groups = groups.select("lang", "source", "metric", q.alias("q"))
+    sketch = written(sketch.select("lang", "source", "metric", "value", "n"), "sketch")
+    every = sketch.groupBy("metric", "value").agg(F.sum("n").cast(WHOLE).alias("n"))
+    language = merged(sketch.groupBy("lang", "metric", "value").agg(F.sum("n").alias("n")), every, ["lang"], [])
+    group = ["lang", "source", "metric"]
+    by_value = W.partitionBy(*group).orderBy("value")
+    ranked = merged(sketch, language, ["lang", "source"], ["lang"]).withColumn("upto", F.sum("n").over(by_value)).withColumn("all", F.sum("n").over(W.partitionBy(*group)))
+    q = lambda p: F.min(F.when(F.col("upto") * 4 >= F.col("all") * p, F.col("value")))
+    groups = ranked.groupBy(*group).agg(F.struct(q(1).alias("q1"), q(3).alias("q3")).alias("q"))
     limits = []
     for m, (_, below, above, least) in METRICS.items():
         mine = F.max(F.when(F.col("metric") == m, F.col("q")))
@@ -155,13 +159,7 @@ def sql() -> str:
     value = lambda e: e.replace(" div ", " // ")
     bucket_ = lambda e: f"(CASE WHEN ({e}) < 64 THEN ({e}) ELSE (({e}) >> (length(bin({e})) - 6)) << (length(bin({e})) - 6) END)"
     metrics = "\n    UNION ALL ".join(f"SELECT doc_id, lang, source, base_failed, '{m}' AS metric, {bucket_(value(e))} AS value FROM b" for m, (e, *_) in METRICS.items())
-    quartile = lambda by, name: (
-        f"{name} AS (SELECT {by}metric, max(size) AS size, min(value) FILTER (WHERE 4 * upto >= size) AS q1, min(value) FILTER (WHERE 4 * upto >= 3 * size) AS q3 FROM"
-        f" (SELECT {by}metric, value, sum(n) OVER (PARTITION BY {by}metric ORDER BY value) AS upto, sum(n) OVER (PARTITION BY {by}metric) AS size FROM"
-        f" (SELECT {by}metric, value, count(*) AS n FROM v WHERE NOT base_failed GROUP BY ALL)) GROUP BY ALL)"
-    )
     fence = "CASE metric " + " ".join(f"WHEN '{m}' THEN value >= q1 - {lo} * greatest(q3 - q1, {least}) AND value <= q3 + {hi} * greatest(q3 - q1, {least})" for m, (_, lo, hi, least) in METRICS.items()) + " END"
-    pick = lambda c: f"CASE WHEN o.size >= {LEAST} THEN o.{c} WHEN l.size >= {LEAST} THEN l.{c} ELSE a.{c} END AS {c}"
     run = " || chr(31) || ".join(f"w[i + {j}]" for j in range(8))
     word = r"[^\x20\x09-\x0D]+"
     return f"""
@@ -175,11 +173,17 @@ c AS (SELECT t.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coa
     FROM t LEFT JOIN ln ON ln.doc_id = t.doc_id LEFT JOIN rw ON rw.doc_id = t.doc_id),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c),
 v AS ({metrics}),
-{quartile("lang, source, ", "own")},
-{quartile("lang, ", "tongue")},
-{quartile("", "every")},
-f AS (SELECT v.*, {pick("q1")}, {pick("q3")} FROM v LEFT JOIN own o ON o.lang IS NOT DISTINCT FROM v.lang AND o.source IS NOT DISTINCT FROM v.source AND o.metric = v.metric
-    LEFT JOIN tongue l ON l.lang IS NOT DISTINCT FROM v.lang AND l.metric = v.metric LEFT JOIN every a ON a.metric = v.metric),
+o AS (SELECT lang, source, metric, value, count(*) AS n FROM v WHERE NOT base_failed GROUP BY ALL),
+a AS (SELECT *, sum(n) OVER (PARTITION BY metric) AS total FROM (SELECT metric, value, sum(n) AS n FROM o GROUP BY ALL)),
+tongues AS (SELECT lang, metric, value, sum(n) AS n FROM o GROUP BY ALL),
+l AS (SELECT g.lang, a.metric, a.value, coalesce(t.n, 0) * a.total + {PRIOR} * a.n AS n FROM (SELECT DISTINCT lang FROM o) g CROSS JOIN a
+    LEFT JOIN tongues t ON t.lang IS NOT DISTINCT FROM g.lang AND t.metric = a.metric AND t.value = a.value),
+lt AS (SELECT *, sum(n) OVER (PARTITION BY lang, metric) AS total FROM l),
+m AS (SELECT g.lang, g.source, l.metric, l.value, coalesce(o.n, 0) * l.total + {PRIOR} * l.n AS n FROM (SELECT DISTINCT lang, source FROM o) g JOIN lt l ON l.lang IS NOT DISTINCT FROM g.lang
+    LEFT JOIN o ON o.lang IS NOT DISTINCT FROM g.lang AND o.source IS NOT DISTINCT FROM g.source AND o.metric = l.metric AND o.value = l.value),
+q AS (SELECT lang, source, metric, min(value) FILTER (WHERE 4 * upto >= total) AS q1, min(value) FILTER (WHERE 4 * upto >= 3 * total) AS q3
+    FROM (SELECT *, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY value) AS upto, sum(n) OVER (PARTITION BY lang, source, metric) AS total FROM m) GROUP BY ALL),
+f AS (SELECT v.*, q1, q3 FROM v LEFT JOIN q ON q.lang IS NOT DISTINCT FROM v.lang AND q.source IS NOT DISTINCT FROM v.source AND q.metric = v.metric),
 k AS (SELECT doc_id, bool_and({fence}) AS fine FROM f GROUP BY doc_id)
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(fine, true) AS kept FROM b JOIN k ON k.doc_id = b.doc_id
 """

@@ -81,3 +81,38 @@ def test_mix(spark):
     assert all(abs(taken[s] - want[s]) <= 1 for s in sources)
     assert mixing.repeated(mixing.mix(docs)).select(F.sum(mixing.n_words("text"))).first()[0] == sum(taken.values())
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_small_groups_follow_their_own_sketch(spark):
+    """Quartiles of the merged sketches against plain counting, for groups of 1 to 400 documents; the same documents twice over move a
+    group's fence toward its own values, with no size at which another sketch takes over."""
+    rng = np.random.default_rng(7)
+    names = [f.split()[0] for f in quality_rules.STATS.split(", ")]
+
+    def table_of(copies):
+        rows = []
+        for s, (n, usual) in enumerate([(1, 900), (3, 900), (30, 700), (120, 400), (400, 100)]):
+            for v in rng.integers(usual - 20, usual + 20, n).tolist():
+                rows += [("en", f"s{s}", dict(zip(names, (100, v, 0, 1, 0, 0))), False)] * copies
+        return rows
+
+    low = {}
+    for copies in (1, 2, 20):
+        rng = np.random.default_rng(7)
+        rows = table_of(copies)
+        stats = spark.createDataFrame([(a, b, *(d[k] for k in names), f) for a, b, d, f in rows], f"lang string, source string, {quality_rules.STATS}, base_failed boolean")
+        got = {r.source: r for r in quality_rules.fences(stats).collect()}
+        bucket = lambda v: v if v < 64 else v >> v.bit_length() - 6 << v.bit_length() - 6
+        every = Counter(bucket(d["word_chars"]) for *_, d, _ in rows)
+        total = sum(every.values())
+        for source in got:
+            own = Counter(bucket(d["word_chars"]) for _, s, d, _ in rows if s == source)
+            language = {v: n * total + quality_rules.PRIOR * n for v, n in every.items()}  # one language: its sketch is everyone's
+            whole = sum(language.values())
+            mix = sorted((v, own[v] * whole + quality_rules.PRIOR * n) for v, n in language.items())
+            upto = np.cumsum([n for _, n in mix], dtype=object)
+            q1, q3 = (next(v for (v, _), u in zip(mix, upto) if 4 * u >= p * upto[-1]) for p in (1, 3))
+            spread = max(q3 - q1, 40)
+            assert (got[source].word_length_low, got[source].word_length_high) == (q1 - 8 * spread, q3 + 8 * spread)
+        low[copies] = got["s3"].word_length_low
+    assert low[1] <= low[2] <= low[20]
