@@ -29,7 +29,7 @@ from tessera.llm.graph import components
 
 ROWS, BANDS = 3, 14
 #: Shingles of a family (or of a block of strays and one of the family) in one task, about.
-SHINGLES = 500_000
+SHINGLES = 100_000
 U64 = ww.U64
 
 
@@ -127,12 +127,18 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
 
 def candidate_edges(classes: DataFrame) -> DataFrame:
-    """classes: rep, left, right. Edges (a, b) from each class to the smallest one of a table that it shares, once each."""
-    bands = classes.select("rep", F.posexplode("left").alias("i", "l"))
-    shared = bands.groupBy("i", "l").agg(F.count("*").alias("n")).filter("n > 1").select("i", "l")
-    left = bands.join(shared, ["i", "l"], "left_semi").groupBy("rep").agg(F.collect_list(F.struct("i", "l")).alias("lefts"))
-    both = left.join(classes.select("rep", "right"), "rep").select("rep", "lefts", F.posexplode("right").alias("j", "r"))
-    keys = both.select("rep", F.explode(F.transform("lefts", lambda x: F.xxhash64(x["i"], x["l"], "j", "r"))).alias("key"))
+    """classes: rep, left, right. Edges (a, b) from each class to the smallest one of a table that it shares, once each. Keys are made only of
+    hashes that two classes share in the left collection, and then two of these classes in the right one."""
+
+    def shared(bands: DataFrame, to: str) -> DataFrame:
+        often = bands.groupBy("i", "h").agg(F.count("*").alias("n")).filter("n > 1").select("i", "h")
+        return bands.join(often, ["i", "h"], "left_semi").groupBy("rep").agg(F.collect_list(F.struct("i", "h")).alias(to))
+
+    lefts = written(shared(classes.select("rep", F.posexplode("left").alias("i", "h")), "lefts"), "left-hashes")
+    some = classes.select("rep", "right").join(lefts.select("rep").distinct(), "rep")
+    rights = shared(some.select("rep", F.posexplode("right").alias("i", "h")), "rights")
+    both = lefts.join(rights, "rep").select("rep", "lefts", F.explode("rights").alias("r"))
+    keys = both.select("rep", F.explode(F.transform("lefts", lambda x: F.xxhash64(x["i"], x["h"], "r.i", "r.h"))).alias("key"))
     keys = written(keys, "keys")
     hubs = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("key", "hub")
     return keys.join(hubs, "key").filter("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
@@ -181,9 +187,9 @@ def link(sets: np.ndarray, at: np.ndarray, percent: int, comp: np.ndarray | None
 TASK = ["family", "i", "j", "rep", "comp", "ask"]
 
 
-def confirmed_edges(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
-    """members: the columns of TASK, a row for each class in a task (family, i, j). Edges (a, b) that connect what links to the asking classes
-    connect, beyond what equal `comp` already does. docs: doc_id and text."""
+def confirmed_edges(rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """rows: the columns of TASK and text, a row for each class in a task (family, i, j). Edges (a, b) that connect what links to the asking
+    classes connect, beyond what equal `comp` already does."""
 
     def solve(rows: dict[str, list], texts: list[pa.Array]) -> pa.RecordBatch:
         sets, at = exact_sets(pa.concat_arrays(texts), k)
@@ -208,11 +214,14 @@ def confirmed_edges(docs: DataFrame, members: DataFrame, k: int, percent: int) -
         if len(rows["rep"]) > 1:
             yield solve(rows, texts)
 
+    return rows.select(*TASK, "text").repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "rep").mapInArrow(task, "a long, b long")
+
+
+def with_texts(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """members (the columns of TASK) with their texts. texts: rep and text."""
     tasks = members.groupBy("rep").agg(F.collect_list(F.struct(*TASK[:3], *TASK[4:])).alias("tasks"))
-    # texts are exchanged at every size: a join that is broadcast while the table is small tells nothing about a large one
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(tasks.hint("merge"), "rep")
-    rows = texts.select("rep", "text", F.explode("tasks").alias("t")).select("t.family", "t.i", "t.j", "rep", "t.comp", "t.ask", "text")
-    return rows.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "rep").mapInArrow(task, "a long, b long")
+    found = texts.select("rep", "text").join(tasks.hint("merge"), "rep")
+    return found.select("rep", "text", F.explode("tasks").alias("t")).select("t.family", "t.i", "t.j", "rep", "t.comp", "t.ask", "text")
 
 
 def _spread(column: str, n: Column | str) -> Column:
@@ -223,7 +232,7 @@ def _upto(n: str) -> Column:
     return F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col(n), F.lit(1)) - 1))
 
 
-def large_family_tasks(docs: DataFrame, members: DataFrame, edges: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def large_family_tasks(texts: DataFrame, members: DataFrame, edges: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """members: family, rep, n_shingles of families too large for a task. Links of classes to one hub each, and the tasks for the strays."""
     share = lambda c: F.ceil(F.coalesce(F.sum(c), F.lit(0)) * 2 / SHINGLES).cast("long")
     hubs = edges.groupBy(F.col("a").alias("rep")).agg(F.min("b").alias("hub"))
@@ -232,7 +241,7 @@ def large_family_tasks(docs: DataFrame, members: DataFrame, edges: DataFrame, k:
     zero, own = F.lit(-1).cast("long").alias("j"), F.col("rep").alias("comp")
     asking = parts.select(F.col("hub").alias("family"), _upto("parts").alias("i"), zero, F.col("hub").alias("rep"), F.col("hub").alias("comp"), F.lit(True).alias("ask"))
     asked = star.join(parts, "hub").select(F.col("hub").alias("family"), _spread("rep", F.greatest("parts", F.lit(1))).alias("i"), zero, "rep", own, F.lit(False).alias("ask"))
-    linked = written(confirmed_edges(docs, asking.unionByName(asked), k, percent), "star-links")
+    linked = written(confirmed_edges(with_texts(texts, asking.unionByName(asked)), k, percent), "star-links")
     labels = components(linked).select(F.col("node").alias("rep"), "component")
     members = written(members.join(labels, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component"), "large-families")
     sizes = members.groupBy("family", "comp").agg(F.count("*").alias("n"))
@@ -265,13 +274,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     member = classes.select("rep", "n_shingles").join(families, F.col("rep") == F.col("node")).select("rep", F.col("component").alias("family"), "n_shingles")
     total = member.groupBy("family").agg(F.sum("n_shingles").alias("total"))
     member = written(member.join(total, "family"), "members")
-    zero = F.lit(0).cast("long")
-    tasks = member.filter(F.col("total") <= SHINGLES).select("family", zero.alias("i"), zero.alias("j"), "rep", F.col("rep").alias("comp"), F.lit(True).alias("ask"))
-    large, stars = member.filter(F.col("total") > SHINGLES).drop("total"), None
-    if not large.isEmpty():
-        stars, more = large_family_tasks(docs, large, edges, words, percent)
-        tasks = tasks.unionByName(more)
-    linked = written(confirmed_edges(docs, tasks, words, percent), "links")
+    # all texts are exchanged once, and at every size: a join that is broadcast while the table is small tells nothing about a large one
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(member.hint("merge"), "rep")
+    texts = written(texts.select("family", "rep", "total", "text"), "member-texts")
+    zero, large = F.lit(0).cast("long"), F.col("total") > SHINGLES
+    rows = texts.filter(~large).select("family", zero.alias("i"), zero.alias("j"), "rep", F.col("rep").alias("comp"), F.lit(True).alias("ask"), "text")
+    many, stars = member.filter(large).drop("total"), None
+    if not many.isEmpty():
+        stars, more = large_family_tasks(texts.filter(large), many, edges, words, percent)
+        rows = rows.unionByName(with_texts(texts.filter(large), more))
+    linked = written(confirmed_edges(rows, words, percent), "links")
     linked = linked.unionByName(stars) if stars is not None else linked
     repeated = of.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("c")).filter("b <> c")
     edges = linked.unionByName(repeated.selectExpr("c AS a", "b")).unionByName(of.join(repeated, "doc_id").selectExpr("rep AS a", "b"))
