@@ -21,9 +21,9 @@ from tessera.llm import words as ww
 
 #: Units in each of a worker's two generations: the younger takes what is looked up, and
 #: replaces the older when full, so that frequent units stay.
-CACHE = 400_000
+CACHE = 300_000
 #: Bytes of text that are looked up together.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: White space other than ASCII's, in UTF-8.
 OTHER_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8b\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 RARE = np.isin(np.arange(256), [*range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3, ord("<")])
