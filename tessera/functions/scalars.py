@@ -118,3 +118,9 @@ def human_size(n: Column) -> Column:
 def run_order(place: Column, n: int) -> Column:
     """Which of n codecs goes first for the image at this place, from 0."""
     return F.pmod(place, F.lit(n))
+
+
+def threads(text: Column, most: int) -> Column:
+    """How many threads a word asks for: `all` is `most`, a whole number is held between 1 and `most`, anything else is null."""
+    number = F.when(text.rlike(r"^[0-9]{1,9}$"), text.cast("int"))
+    return F.when(F.lower(text) == "all", F.lit(most)).otherwise(F.greatest(F.lit(1), F.least(number, F.lit(most))) * F.when(number.isNotNull(), 1))

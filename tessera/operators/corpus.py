@@ -18,9 +18,61 @@ def first_of_each(files: DataFrame, content: str, *order: str) -> DataFrame:
     return table.join(least, "digest").withColumn("first", key == F.col("_least")).drop("_least")
 
 
-def exclusion(width: Column, height: Column, most: int = 16_383, pixels: int = 16_000_000) -> Column:
-    """Why an image of this size is left out, or null."""
-    return F.when((width > most) | (height > most), F.lit("dimension limit")).when(width.cast("long") * height > pixels, F.lit("pixel ceiling"))
+def exclusion(width: Column, height: Column, most: int = 16_383, pixels: int = 16_000_000, failed: Column | None = None) -> Column:
+    """Why an image of this size is left out, or null. failed: what a tool said that could not read it, null where it could."""
+    first = F.when(failed.isNotNull(), F.concat(F.lit("tool failure: "), failed)) if failed is not None else F
+    return first.when((width > most) | (height > most), F.lit("dimension limit")).when(width.cast("long") * height > pixels, F.lit("pixel ceiling"))
+
+
+def manifest(files: DataFrame) -> DataFrame:
+    """A row for each image that a corpus keeps. files: path, category, width, height, opaque, digest, source."""
+    model = F.when(F.col("opaque"), "RGB").otherwise("RGBA")
+    pixels = F.col("width").cast("long") * F.col("height")
+    return files.select(
+        F.col("path").alias("Path"), F.col("category").alias("Category"), F.col("width").alias("Width"), F.col("height").alias("Height"), pixels.alias("Pixels"),
+        model.alias("ColorModel"), F.col("digest").alias("NormalizedSHA256"), F.col("source").alias("Source"),
+    )
+
+
+def missing(listed: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows of a manifest whose file isn't there. files: path."""
+    return listed.join(files.select(F.col("path").alias("Path")), "Path", "left_anti")
+
+
+def first_images(files: DataFrame, n: int) -> DataFrame:
+    """The first n by path; every task gives n at most to the last one."""
+    return files.orderBy("path").limit(n)
+
+
+def in_report_order(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows ordered by columns without regard to case, ties by the columns as they are."""
+    return rows.orderBy(*(F.lower(c) for c in by), *by)
+
+
+def exact_or_error(results: DataFrame, *differences: str) -> DataFrame:
+    """The results; one that differs from its source in any of the columns ends the job."""
+    wrong = F.lit(False)
+    for c in differences:
+        wrong |= F.col(c) != 0
+    checked = F.when(wrong, F.raise_error(F.concat(F.lit("a result differs from its source: "), F.col("path")))).otherwise(F.col("path"))
+    return results.withColumn("path", checked)
+
+
+#: Measures of a codec's run, by their names in a measurement row.
+MEASURES = ("bytes", "seconds", "cpu", "peak_working_set", "peak_private", "peak_commit", "difference")
+
+
+def measurement_rows(runs: DataFrame, codecs: tuple[str, ...]) -> DataFrame:
+    """A row of 28 columns, for three codecs, for each image. runs: path, category, width, height, pixels, model, digest, codec and MEASURES."""
+    image = ["path", "category", "width", "height", "pixels", "model", "digest"]
+    return runs.groupBy(*image).agg(*(F.max(F.when(F.col("codec") == c, F.col(m))).alias(f"{c}_{m}") for m in MEASURES for c in codecs))
+
+
+def quick_averages(runs: DataFrame) -> DataFrame:
+    """Mean encode and decode time of each codec and image, in whole microseconds, halves up. runs: path, codec, run, encode, decode; the first
+    run (0) warms up and does not count."""
+    n, mean = F.count("*"), lambda c: F.floor((2 * F.sum(c) + F.count("*")) / (2 * F.count("*"))).cast("long").alias(c)
+    return runs.filter("run > 0").groupBy("path", "codec").agg(n.alias("runs"), mean("encode"), mean("decode"))
 
 
 def first_per_group(rows: DataFrame, group: str, order: str, n: int = 10) -> DataFrame:
@@ -47,8 +99,25 @@ def codec_summary(results: DataFrame, codecs: tuple[str, ...]) -> DataFrame:
     rows = results.select("pixels", F.explode(F.array(*(F.struct(F.lit(c).alias("codec"), F.col(f"{c}_bytes").alias("bytes"), F.col(f"{c}_us").alias("us"), F.col(f"{c}_peak").alias("peak")) for c in codecs))).alias("r"))
     rows = rows.select("pixels", "r.*")
     speed = F.when(F.sum("us") == 0, 0.0).otherwise(F.bround(F.sum("pixels") / F.sum("us"), 3))
-    median = F.bround(F.expr("percentile(peak, 0.5)")).cast("long")
-    return rows.groupBy("codec").agg(F.sum("bytes").alias("bytes"), F.sum("us").alias("us"), speed.alias("mp_per_s"), F.max("peak").alias("peak_max"), median.alias("peak_median"))
+    totals = rows.groupBy("codec").agg(F.sum("bytes").alias("bytes"), F.sum("us").alias("us"), speed.alias("mp_per_s"), F.max("peak").alias("peak_max"))
+    return totals.join(median(rows, "codec", "peak").withColumnRenamed("median", "peak_median"), "codec")
+
+
+def median(rows: DataFrame, by: str, value: str, fine: int = 1 << 12) -> DataFrame:
+    """by and median, the mean of the two middle values, as a whole number with halves to even. value: whole numbers.
+
+    Values are counted before the exchange, then summed by ranges of `fine` values and, in the range or two that hold the middle, one by one. No task
+    holds all values of a group, only its ranges."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(F.col(by).alias("_by"), F.col(value).cast("long").alias("_v")).agg(F.count("*").alias("_n"))
+    ranges = counts.groupBy("_by", F.floor(F.col("_v") / fine).alias("_r")).agg(F.sum("_n").alias("_m"))
+    upto = W.partitionBy("_by").orderBy("_r")
+    ranges = ranges.withColumns({"_below": F.sum("_m").over(upto) - F.col("_m"), "_all": F.sum("_m").over(W.partitionBy("_by"))})
+    low, high = F.expr("(_all + 1) div 2"), F.expr("_all div 2 + 1")
+    middle = ranges.filter((F.col("_below") < high) & (F.col("_below") + F.col("_m") >= low)).select(F.col("_by").alias("_b"), "_r", "_below", "_all")
+    some = counts.join(middle, (F.col("_by") == F.col("_b")) & (F.floor(F.col("_v") / fine) == F.col("_r")))
+    some = some.withColumn("_upto", F.col("_below") + F.sum("_n").over(W.partitionBy("_by", "_r").orderBy("_v")))
+    two = some.groupBy("_by").agg(F.min(F.when(F.col("_upto") >= low, F.col("_v"))).alias("a"), F.min(F.when(F.col("_upto") >= high, F.col("_v"))).alias("b"))
+    return two.select(F.col("_by").alias(by), F.bround((F.col("a") + F.col("b")) / 2).cast("long").alias("median"))
 
 
 def compare(results: DataFrame, *by: str) -> DataFrame:

@@ -38,6 +38,18 @@ def timeline(delays: DataFrame) -> DataFrame:
     return table.select("anim", "frame", "delay", F.coalesce(F.sum("delay").over(earlier), F.lit(0)).alias("start"))
 
 
+def played(timeline: DataFrame, loops: int, until: int | None = None) -> DataFrame:
+    """anim, loop, frame, start: when each frame begins while a sequence is played `loops` times over (0: until `until`, which then must be given).
+    timeline: as `timeline` gives it."""
+    if not loops and until is None:
+        raise ValueError("a sequence that plays forever needs an end")
+    whole = timeline.groupBy("anim").agg(F.sum("delay").alias("whole"))
+    times = F.lit(loops).cast("long") if loops else F.greatest(F.ceil(F.lit(until) / F.col("whole")), F.lit(1)).cast("long")
+    every = timeline.join(whole, "anim").withColumn("loop", F.explode(F.sequence(F.lit(0).cast("long"), times - 1)))
+    out = every.select("anim", "loop", "frame", (F.col("start") + F.col("loop") * F.col("whole")).alias("start"))
+    return out.filter(F.col("start") < until) if until is not None else out
+
+
 def patches(frames: DataFrame, width: int = 2) -> DataFrame:
     """anim, frame, y, x, key: `width` by 2 samples from each place."""
     below = frames.select("anim", "frame", (F.col("y") - 1).alias("y"), F.col("line").alias("low"))

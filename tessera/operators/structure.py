@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import formulas as f
+from tessera.operators.neighbors import BAND
 
 #: Ranks of a sample in the eight scan orders; w and h are the image's width and height.
 SHEARS = (1, -1, 2, -2)
@@ -19,17 +20,22 @@ BLOCK_OPS = {"raw": 0, "flat": 1, "left": 2, "up": 3, "two": 4, "four": 5, "patt
 
 
 def palette(colours: DataFrame, most: int = 65_536) -> DataFrame:
-    """img, idx, r, g, b, a and n: an image's colours in order of r, g, b, a. Images with more than `most` colours have no palette."""
-    kinds = colours.groupBy("img", "r", "g", "b", "a").agg(F.count("*").alias("n"))
-    idx = F.row_number().over(W.partitionBy("img").orderBy("r", "g", "b", "a")) - 1
-    return kinds.withColumns({"idx": idx, "_size": F.count("*").over(W.partitionBy("img"))}).filter(F.col("_size") <= most).drop("_size")
+    """img, idx, r, g, b, a and n: an image's colours in order of r, g, b, a. Images with more than `most` colours have no palette; they are left
+    out before anything is ordered."""
+    kinds = _few(colours.groupBy("img", "r", "g", "b", "a").agg(F.count("*").alias("n")), most)
+    return kinds.withColumn("idx", F.row_number().over(W.partitionBy("img").orderBy("r", "g", "b", "a")) - 1)
+
+
+def _few(kinds: DataFrame, most: int) -> DataFrame:
+    """Colours of images that have at most `most`."""
+    small = kinds.groupBy("img").agg(F.count("*").alias("_size")).filter(F.col("_size") <= most)
+    return kinds.join(small.select("img"), "img", "left_semi")
 
 
 def palette_by_luma(colours: DataFrame, most: int = 256) -> DataFrame:
     """The same in order of 2r + 5g + b, ties by first appearance in line order."""
-    kinds = colours.groupBy("img", "r", "g", "b", "a").agg(F.count("*").alias("n"), F.min(F.struct("y", "x")).alias("_first"))
-    idx = F.row_number().over(W.partitionBy("img").orderBy(F.expr("2 * r + 5 * g + b"), "_first")) - 1
-    return kinds.withColumns({"idx": idx, "_size": F.count("*").over(W.partitionBy("img"))}).filter(F.col("_size") <= most).drop("_size", "_first")
+    kinds = _few(colours.groupBy("img", "r", "g", "b", "a").agg(F.count("*").alias("n"), F.min(F.struct("y", "x")).alias("_first")), most)
+    return kinds.withColumn("idx", F.row_number().over(W.partitionBy("img").orderBy(F.expr("2 * r + 5 * g + b"), "_first")) - 1).drop("_first")
 
 
 def indexed(colours: DataFrame, palette: DataFrame) -> DataFrame:
@@ -46,11 +52,25 @@ def line_runs(rows: DataFrame) -> DataFrame:
 
 
 def runs(rows: DataFrame) -> DataFrame:
-    """img, y, x, v, n: runs of equal samples in line order, across line ends. Only runs within lines go through the order over an image."""
-    order = W.partitionBy("img").orderBy("y", "x")
-    flagged = line_runs(rows).withColumn("_new", F.coalesce((F.lag("v").over(order) != F.col("v")).cast("int"), F.lit(1)))
-    group = flagged.withColumn("_run", F.sum("_new").over(order))
-    return group.groupBy("img", "_run").agg(F.min_by("y", F.struct("y", "x")).alias("y"), F.min_by("x", F.struct("y", "x")).alias("x"), F.first("v").alias("v"), F.sum("n").alias("n")).drop("_run")
+    """img, y, x, v, n: runs of equal samples in line order, across line ends.
+
+    Lines are dealt in bands and runs joined within each. Of a band, only its first and last run, and whether that is one, go through an order over the
+    image: a run that reaches a band's end goes on in the next one where that begins with the same sample."""
+    order = W.partitionBy("img", "band").orderBy("y", "x")
+    flagged = line_runs(rows).withColumn("band", F.expr(f"y div {BAND}")).withColumn("_new", F.coalesce((F.lag("v").over(order) != F.col("v")).cast("int"), F.lit(1)))
+    place = F.struct("y", "x")
+    within = flagged.withColumn("_run", F.sum("_new").over(order)).groupBy("img", "band", "_run").agg(F.min(place).alias("at"), F.first("v").alias("v"), F.sum("n").alias("n"))
+    ends = within.groupBy("img", "band").agg(F.max("_run").alias("last"), F.min_by("v", "_run").alias("first_v"), F.max_by("v", "_run").alias("last_v"))
+    # a band that begins with the sample that the one above ended with goes on; bands of one run pass it down
+    down = W.partitionBy("img").orderBy("band")
+    ends = ends.withColumn("goes_on", F.coalesce(F.lag("last_v").over(down) == F.col("first_v"), F.lit(False)))
+    ends = ends.withColumn("chain", F.sum(F.when(F.col("goes_on") & (F.col("last") == 1), 0).otherwise(1)).over(down))
+    # a chain is the last run of a band and all that goes on from it: whole bands, and the first run of the band that ends it
+    of = F.when((F.col("_run") == 1) & F.col("goes_on") & (F.col("last") > 1), F.col("chain") - 1).when(F.col("_run") == F.col("last"), F.col("chain"))
+    told = within.join(ends.select("img", "band", "last", "goes_on", "chain"), ["img", "band"]).withColumn("chain", of)
+    whole = told.filter("chain IS NULL").select("img", "at", "v", "n")
+    chained = told.filter("chain IS NOT NULL").groupBy("img", "chain").agg(F.min("at").alias("at"), F.min_by("v", "at").alias("v"), F.sum("n").alias("n")).drop("chain")
+    return whole.unionByName(chained).select("img", "at.y", "at.x", "v", "n")
 
 
 def events(residuals: DataFrame, rank: str, w: int, h: int) -> DataFrame:
@@ -195,7 +215,12 @@ def size_class(text: str) -> str:
 
 
 def prefix_sums(rows: DataFrame) -> DataFrame:
-    """img, y, x, s: the sum of all samples up to a place, both ways. Lines are summed by themselves, then down each column."""
-    along = F.expr("transform(sequence(1, size(line)), n -> aggregate(slice(line, 1, n), 0L, (a, v) -> a + v))")
-    cells = rows.select("img", "y", F.posexplode(along).alias("x", "p"))
-    return cells.select("img", "y", "x", F.sum("p").over(W.partitionBy("img", "x").orderBy("y").rowsBetween(W.unboundedPreceding, 0)).alias("s"))
+    """img, y, x, s: the sum of all samples up to a place, both ways. Lines are dealt in bands; sums down a column go on from the sums of the
+    bands above, which are a row for each band and column, and a running sum along each line comes last."""
+    cells = rows.select("img", "y", F.expr(f"y div {BAND}").alias("band"), F.posexplode("line").alias("x", "v"))
+    bands = cells.groupBy("img", "band", "x").agg(F.sum("v").alias("total"))
+    above = F.sum("total").over(W.partitionBy("img", "x").orderBy("band").rowsBetween(W.unboundedPreceding, -1))
+    bands = bands.select(F.col("img").alias("_img"), F.col("band").alias("_band"), F.col("x").alias("_x"), F.coalesce(above, F.lit(0)).alias("above"))
+    down = cells.withColumn("d", F.sum("v").over(W.partitionBy("img", "band", "x").orderBy("y")))
+    down = down.join(bands, (F.col("img") == F.col("_img")) & (F.col("band") == F.col("_band")) & (F.col("x") == F.col("_x")))
+    return down.select("img", "y", "x", F.sum(F.col("d") + F.col("above")).over(W.partitionBy("img", "y").orderBy("x")).alias("s"))
