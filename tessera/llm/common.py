@@ -22,11 +22,14 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str | Column) -
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as a URI.
 
-    It is what ``spark.checkpoint.dir`` names. Only where that is unset (tests,
-    local mode) a temporary folder is made and set for the session, and removed at exit.
+    It is what ``spark.checkpoint.dir`` names. Only where that is unset and the session
+    is local (tests) a temporary folder is made and set for it, and removed at exit; on a
+    cluster, whose executors could not see it, a missing setting is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="tessera-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         base = "file://" + own

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD
+from tessera.llm.common import WORD, unused
 
 
 def n_words(text: str) -> Column:
@@ -60,23 +60,24 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
     names = ("source_size", "target", "copies", "part", "taken")
     docs = docs.drop(*names).withColumn("size", F.col(size).cast("long") if size else n_words("text"))
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")))
-    docs = docs.withColumns({"_h": F.substring(key, 1, 16), "_b": F.substring(key, 1, 3)})
-    ranges = docs.groupBy("source", "_b").agg(F.sum("size").alias("_n"))
-    want = targets(ranges.groupBy("source").agg(F.sum("_n").alias("source_size")), weights, max_epochs)
-    earlier = F.sum("_n").over(W.partitionBy("source").orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
-    ranges = ranges.withColumn("_before", F.coalesce(earlier, F.lit(0))).select(F.col("source").alias("_s"), F.col("_b").alias("_r"), "_before")
-    want = want.withColumnRenamed("source", "_t")
-    ranges = ranges.join(want, F.col("_s").eqNullSafe(F.col("_t")))
-    within = W.partitionBy("source", "_b").orderBy("_h", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    docs = docs.withColumn("_in", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    out = docs.join(ranges, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_r")))
-    whole = F.coalesce(F.floor(F.col("want") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)).cast("long")
-    room = F.col("want") - F.col("copies") * F.col("source_size") - F.col("_before") - F.col("_in")
+    h, b, n, before, s, r, t, inside, want_ = unused(docs, "_h", "_b", "_n", "_before", "_s", "_r", "_t", "_in", "want")
+    docs = docs.withColumns({h: F.substring(key, 1, 16), b: F.substring(key, 1, 3)})
+    ranges = docs.groupBy("source", b).agg(F.sum("size").alias(n))
+    want = targets(ranges.groupBy("source").agg(F.sum(n).alias("source_size")), weights, max_epochs).withColumnRenamed("want", want_)
+    earlier = F.sum(n).over(W.partitionBy("source").orderBy(b).rowsBetween(W.unboundedPreceding, -1))
+    ranges = ranges.withColumn(before, F.coalesce(earlier, F.lit(0))).select(F.col("source").alias(s), F.col(b).alias(r), before)
+    want = want.withColumnRenamed("source", t)
+    ranges = ranges.join(want, F.col(s).eqNullSafe(F.col(t)))
+    within = W.partitionBy("source", b).orderBy(h, "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    docs = docs.withColumn(inside, F.coalesce(F.sum("size").over(within), F.lit(0)))
+    out = docs.join(ranges, F.col("source").eqNullSafe(F.col(s)) & (F.col(b) == F.col(r)))
+    whole = F.coalesce(F.floor(F.col(want_) / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)).cast("long")
+    room = F.col(want_) - F.col("copies") * F.col("source_size") - F.col(before) - F.col(inside)
     return (
         out.withColumn("copies", whole)
         .withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), room)).cast("long"))
         .withColumn("taken", F.col("copies") * F.col("size") + F.col("part"))
-        .drop("_h", "_b", "_s", "_r", "_t", "_before", "_in", "want")
+        .drop(h, b, s, r, t, before, inside, want_)
     )
 
 
@@ -89,7 +90,8 @@ def repeated(mixed: DataFrame) -> DataFrame:
         F.when(whole > 0, F.array_repeat("text", whole.cast("int"))).otherwise(F.array().cast("array<string>")),
         F.when(partly, F.array(lead)).otherwise(F.array().cast("array<string>")),
     )
-    return mixed.withColumn("_texts", texts).withColumn("text", F.explode("_texts")).drop("_texts")
+    (name,) = unused(mixed, "_texts")
+    return mixed.withColumn(name, texts).withColumn("text", F.explode(name)).drop(name)
 
 
 SQL = """

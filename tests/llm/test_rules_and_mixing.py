@@ -68,7 +68,7 @@ def test_mix(spark):
     rng = np.random.default_rng(3)
     rows = [(int(i), " ".join(["w"] * int(rng.integers(0, 50))), s, 5) for i, s in enumerate(rng.choice(["a", "b", "c", "d", "é"], 600, p=[0.6, 0.3, 0.05, 0.04, 0.01]))]
     rows += [(None, None, None, 1), (5, "x y", "a", 1), (5, "x y", "a", 1), (7000, "a b c", None, 2), (7001, "", "empty", 2)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int").repartition(5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int").repartition(5).selectExpr("*", "'h' AS _h", "7 AS want", "doc_id AS _in", "source AS _s", "1 AS _texts")
     got = mixing.mix(docs).collect()
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(2)).collect()))
     sources = sorted({r[2] for r in rows}, key=lambda s: (s is None, s or ""))
