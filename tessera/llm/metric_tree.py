@@ -1,8 +1,9 @@
 """Exact top-k by inner product in M-trees, searched best first.
 
-Candidates are dealt into blocks, queries too, and every block of queries meets every block of candidates in one task, so a
-task's memory doesn't depend on the table. A task bulk-loads an M-tree of its candidates: pages of routing objects with covering
-radii and the distances to their parent, and leaves that keep each object's distance to the leaf's routing object.
+Candidates are dealt into blocks. A task bulk-loads an M-tree of one block once: pages of routing objects with covering radii and the
+distances to their parent, and leaves that keep each object's distance to the leaf's routing object. Queries then stream past it, so
+a task's memory depends neither on the table nor on how many queries there are. Every query first meets one block; the k-th score that it
+finds there is one that the whole answer reaches too, so its searches in all other blocks begin with it and return nothing below.
 
 For a routing object p of radius r and any x below it, q.x = q.p + q.(x - p) <= q.p + |q| r. From what was computed for the parent o,
 q.p <= q.o + |q| d(o, p), so a child is passed over without computing q.p when q.o + |q| (d(o, p) + r) can't reach the k-th score; an
@@ -11,8 +12,8 @@ object likewise with r = 0. Pages wait in a queue by their bound, and the search
 
 from __future__ import annotations
 
-import hashlib
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,8 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.llm.common import written
+from tessera.llm.words import tidy
+
 LEAF, FANOUT = 1024, 16
-CANDIDATES, QUERIES = 16_384, 2048
+CANDIDATES = 16_384
 SLACK = 1e-6  # scores are whole numbers; bounds are rounded
 
 
@@ -57,10 +61,10 @@ def build(x: np.ndarray, ids: np.ndarray, parent: np.ndarray) -> Node:
     return Node(pivots, _distances(pivots, parent), radius, children)
 
 
-def search(root: Node, zero: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Scores and ids of the k best objects but those with the id `own`, best first, ties to the smaller id."""
+def search(root: Node, zero: np.ndarray, q: np.ndarray, own: int, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and ids of the k best objects that score `floor` at least, but those with the id `own`; best first, ties to the smaller id."""
     norm = float(np.sqrt((q * q).sum()))
-    best_s, best_i, kth, n = np.empty(0), np.empty(0, np.int64), -np.inf, 0
+    best_s, best_i, kth, n = np.empty(0), np.empty(0, np.int64), floor, 0
     queue = [(-np.inf, n, float(q @ zero), root)]
     while queue:
         bound, _, at, node = heapq.heappop(queue)
@@ -106,38 +110,60 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
     total, asked = rows.agg(F.count("*"), F.count_if(F.col("vec_id") % every == 0)).first()
     if not asked:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    blocks, groups = -(-total // CANDIDATES), -(-asked // QUERIES)
-    spread = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    size = F.size("v").alias("size")
-    queries = rows.filter(F.col("vec_id") % every == 0).select("vec_id", "v", size, spread(groups, 1).alias("g"), each(blocks).alias("b"))
-    others = rows.select("vec_id", "v", size, spread(blocks, 2).alias("b"), each(groups).alias("g"))
-
-    def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        v = table.column("v").combine_chunks()
-        return table.column("vec_id").to_numpy(), v.flatten().to_numpy().astype(np.float64).reshape(len(v), -1)
-
-    def task(asking: pa.Table, table: pa.Table) -> pa.Table:
-        names = ["query_id", "query", "vec_id", "score"]
-        out: list[list[np.ndarray]] = [[], [], [], []]
-        if asking.num_rows and table.num_rows:
-            ids, x = matrix(table)
-            order = np.argsort(ids, kind="stable")
-            zero = x.mean(0).round()
-            root = build(x[order], ids[order], zero)
-            keys, q = matrix(asking)
-            for i in range(len(keys)):
-                scores, found = search(root, zero, q[i], int(keys[i]), k)
-                for column, values in zip(out, (np.full(len(found), keys[i]), np.full(len(found), int.from_bytes(hashlib.sha256(q[i].tobytes()).digest()[:7], "little")), found, scores.astype(np.int64))):
-                    column.append(values)
-        return pa.table([pa.array(np.concatenate(c) if c else np.empty(0, np.int64), pa.int64()) for c in out], names)
-
-    keys = ["size", "g", "b"]
-    found = queries.groupBy(*keys).cogroup(others.groupBy(*keys)).applyInArrow(task, "query_id long, query long, vec_id long, score long")
+    blocks = -(-total // CANDIDATES)
+    spread = lambda seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(blocks)).cast("int")
+    rows = rows.select("vec_id", "v", F.size("v").alias("size"), F.xxhash64("vec_id", "v").alias("query"))
+    candidates = rows.select("size", spread(2).alias("b"), F.lit(False).alias("asks"), "vec_id", "query", "v", F.lit(None).cast("double").alias("floor"))
+    queries = rows.filter(F.col("vec_id") % every == 0).withColumn("home", spread(1))
+    first = queries.select("size", F.col("home").alias("b"), F.lit(True).alias("asks"), "vec_id", "query", "v", F.lit(None).cast("double").alias("floor"))
+    found = written(met(candidates.unionByName(first), k), "first-scores")
+    if blocks > 1:
+        floors = found.groupBy("query_id", "query").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("floor"))
+        known = queries.join(floors, (F.col("vec_id") == F.col("query_id")) & (queries["query"] == floors["query"]), "left").select("size", "home", "vec_id", queries["query"], "v", "floor")
+        others = known.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).filter("b <> home")
+        others = others.select("size", "b", F.lit(True).alias("asks"), "vec_id", "query", "v", "floor")
+        found = found.unionByName(met(candidates.unionByName(others), k))
     order = W.partitionBy("query_id", "query").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def met(rows: DataFrame, k: int) -> DataFrame:
+    """query_id, query, vec_id and score: what each asking row finds among the candidates of its block. rows: size, b, asks, vec_id, query, v, floor."""
+
+    @tidy
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts, root, zero = None, [], None, None
+        for batch in batches:
+            size, b, asks, ids, query, floor = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("size", "b", "asks", "vec_id", "query", "floor"))
+            keys = np.stack([size, b, asks], 1).astype(np.int64)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for start, end in zip(cuts[:-1], cuts[1:]):
+                if start == end:
+                    continue
+                x = batch.column("v").slice(start, end - start).flatten().to_numpy().astype(np.float64).reshape(end - start, -1)
+                if (now := (int(size[start]), int(b[start]))) != key:
+                    key, parts, root = now, [], None
+                if not asks[start]:
+                    parts.append((ids[start:end], x))
+                    continue
+                if root is None and parts:  # a block's candidates come before its queries
+                    every = np.concatenate([p[0] for p in parts])
+                    objects, order = np.concatenate([p[1] for p in parts]), np.argsort(every, kind="stable")
+                    zero, parts = objects.mean(0).round(), []
+                    root = build(objects[order], every[order], zero)
+                out: list[list[np.ndarray]] = [[], [], [], []]
+                for i in range(start, end if root is not None else start):
+                    least = float(floor[i])
+                    scores, got = search(root, zero, x[i - start], int(ids[i]), k, -np.inf if np.isnan(least) else least)
+                    for column, values in zip(out, (np.full(len(got), ids[i]), np.full(len(got), query[i]), got, scores.astype(np.int64))):
+                        column.append(values)
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], ["query_id", "query", "vec_id", "score"])
+
+    dealt = rows.repartition("size", "b").sortWithinPartitions("size", "b", "asks")
+    return dealt.mapInArrow(task, "query_id long, query long, vec_id long, score long")
+
+
 SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
