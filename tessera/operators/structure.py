@@ -43,34 +43,27 @@ def indexed(colours: DataFrame, palette: DataFrame) -> DataFrame:
     return colours.join(palette.select("img", "r", "g", "b", "a", "idx"), ["img", "r", "g", "b", "a"]).select("img", "y", "x", "idx")
 
 
-def line_runs(rows: DataFrame) -> DataFrame:
-    """img, y, w, x, v, n: runs of equal samples within lines, without a window: a run starts where the sample before differs."""
-    starts = F.expr("filter(sequence(0, size(line) - 1), i -> i = 0 OR line[i] <> line[i - 1])")
-    runs = rows.filter(F.size("line") > 0).select("img", "y", "line", F.size("line").alias("w"), starts.alias("s"))
-    cells = runs.select("img", "y", "w", "line", "s", F.posexplode("s").alias("k", "x"))
-    return cells.select("img", "y", "w", "x", F.expr("line[x]").alias("v"), F.expr("coalesce(get(s, k + 1), w) - x").alias("n"))
-
-
 def runs(rows: DataFrame) -> DataFrame:
     """img, y, x, v, n: runs of equal samples in line order, across line ends.
 
-    Lines are dealt in bands and runs joined within each. Of a band, only its first and last run, and whether that is one, go through an order over the
-    image: a run that reaches a band's end goes on in the next one where that begins with the same sample."""
-    order = W.partitionBy("img", "band").orderBy("y", "x")
-    flagged = line_runs(rows).withColumn("band", F.expr(f"y div {BAND}")).withColumn("_new", F.coalesce((F.lag("v").over(order) != F.col("v")).cast("int"), F.lit(1)))
+    Runs inside a line are complete and aren't exchanged. Only a line's first and last run, a row for each line, go through an order over the
+    image: a line that begins with the sample that the one above ended with goes on, and one of a single run passes it down."""
+    starts = F.expr("filter(sequence(0, size(line) - 1), i -> i = 0 OR line[i] <> line[i - 1])")
+    lines = rows.filter(F.size("line") > 0).select("img", "y", "line", F.size("line").alias("w"), starts.alias("s"))
+    inner = lines.filter(F.size("s") > 2).select("img", "y", "line", "s", F.posexplode(F.expr("slice(s, 2, size(s) - 2)")).alias("k", "x"))
+    inner = inner.select("img", "y", "x", F.expr("line[x]").alias("v"), F.expr("CAST(s[k + 2] - x AS BIGINT)").alias("n"))
+    ends = lines.select("img", "y", (F.size("s") == 1).alias("one"), F.expr("line[0]").alias("v0"), F.expr("coalesce(get(s, 1), w)").alias("n0"), F.expr("line[w - 1]").alias("v1"), F.expr("s[size(s) - 1]").alias("x1"), F.expr("w - s[size(s) - 1]").alias("n1"))
+    down = W.partitionBy("img").orderBy("y")
+    ends = ends.withColumn("on", F.coalesce(F.lag("v1").over(down) == F.col("v0"), F.lit(False)))
+    # a chain is the last run of a line and all that goes on from it: whole lines, and the first run of the line that ends it
+    ends = ends.withColumn("chain", F.sum(F.when(F.col("on") & F.col("one"), 0).otherwise(1)).over(down))
+    first = F.struct(F.when(F.col("on"), F.col("chain") - 1).alias("chain"), F.lit(0).alias("x"), F.col("v0").alias("v"), F.col("n0").cast("long").alias("n"))
+    last = F.struct(F.col("chain"), F.col("x1").alias("x"), F.col("v1").alias("v"), F.col("n1").cast("long").alias("n"))
+    ends = ends.select("img", "y", F.explode(F.when(F.col("one"), F.array(last)).otherwise(F.array(first, last))).alias("r")).select("img", "y", "r.*")
     place = F.struct("y", "x")
-    within = flagged.withColumn("_run", F.sum("_new").over(order)).groupBy("img", "band", "_run").agg(F.min(place).alias("at"), F.first("v").alias("v"), F.sum("n").alias("n"))
-    ends = within.groupBy("img", "band").agg(F.max("_run").alias("last"), F.min_by("v", "_run").alias("first_v"), F.max_by("v", "_run").alias("last_v"))
-    # a band that begins with the sample that the one above ended with goes on; bands of one run pass it down
-    down = W.partitionBy("img").orderBy("band")
-    ends = ends.withColumn("goes_on", F.coalesce(F.lag("last_v").over(down) == F.col("first_v"), F.lit(False)))
-    ends = ends.withColumn("chain", F.sum(F.when(F.col("goes_on") & (F.col("last") == 1), 0).otherwise(1)).over(down))
-    # a chain is the last run of a band and all that goes on from it: whole bands, and the first run of the band that ends it
-    of = F.when((F.col("_run") == 1) & F.col("goes_on") & (F.col("last") > 1), F.col("chain") - 1).when(F.col("_run") == F.col("last"), F.col("chain"))
-    told = within.join(ends.select("img", "band", "last", "goes_on", "chain"), ["img", "band"]).withColumn("chain", of)
-    whole = told.filter("chain IS NULL").select("img", "at", "v", "n")
-    chained = told.filter("chain IS NOT NULL").groupBy("img", "chain").agg(F.min("at").alias("at"), F.min_by("v", "at").alias("v"), F.sum("n").alias("n")).drop("chain")
-    return whole.unionByName(chained).select("img", "at.y", "at.x", "v", "n")
+    chained = ends.filter("chain IS NOT NULL").groupBy("img", "chain").agg(F.min(place).alias("at"), F.min_by("v", place).alias("v"), F.sum("n").alias("n"))
+    alone = ends.filter("chain IS NULL").select("img", "y", "x", "v", "n")
+    return inner.unionByName(alone).unionByName(chained.select("img", "at.y", "at.x", "v", "n"))
 
 
 def events(residuals: DataFrame, rank: str, w: int, h: int) -> DataFrame:
