@@ -101,8 +101,9 @@ def separable_deltas(samples: DataFrame) -> DataFrame:
     """img, side, i, delta: differences along the first line and the first column."""
     row = samples.filter("y = 0").select("img", F.lit("row").alias("side"), F.col("x").alias("i"), "v")
     column = samples.filter("x = 0").select("img", F.lit("column").alias("side"), F.col("y").alias("i"), "v")
-    before = F.lag("v").over(W.partitionBy("img", "side").orderBy("i"))
-    return row.unionByName(column).withColumn("delta", F.expr("v") - F.coalesce(before, F.lit(0))).select("img", "side", "i", F.expr("delta & 255").alias("delta"))
+    sides = row.unionByName(column)
+    before = sides.select("img", "side", (F.col("i") + 1).alias("i"), F.col("v").alias("before"))  # a join: a side may be as long as the table
+    return sides.join(before, ["img", "side", "i"], "left").select("img", "side", "i", F.expr("(v - coalesce(before, 0)) & 255").alias("delta"))
 
 
 def slopes(rows: DataFrame, period: int) -> DataFrame:

@@ -65,21 +65,12 @@ UNION ALL SELECT '(all)', count(*), CAST(sum(CAST(width AS BIGINT) * height) AS
 
 
 def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """File names from the starts of texts."""
-    name = F.concat(F.substring("text", 1, 12), F.lit(".png"))
-    return _documents(spark, sf_dir).select("doc_id", corpus.safe_stem(name).alias("stem"))
-
-
-SAFE_NAMES = r"""
-SELECT doc_id, coalesce(nullif(trim(regexp_replace(regexp_replace(substring(text, 1, 12) || '.png', '\.[^.]*$', ''), '[^A-Za-z0-9._]+', '_', 'g'), '_'), ''), 'image') AS stem FROM documents"""
-
-
-def safe_names_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File names from whole texts."""
     return _documents(spark, sf_dir).select("doc_id", corpus.safe_stem(F.concat("text", F.lit(".png"))).alias("stem"))
 
 
-SAFE_NAMES_ALL = SAFE_NAMES.replace("substring(text, 1, 12)", "text")
+SAFE_NAMES = r"""
+SELECT doc_id, coalesce(nullif(trim(regexp_replace(regexp_replace(text || '.png', '\.[^.]*$', ''), '[^A-Za-z0-9._]+', '_', 'g'), '_'), ''), 'image') AS stem FROM documents"""
 
 _RESULTS = """
     l_returnflag || l_linestatus AS category, CASE WHEN l_linenumber % 2 = 0 THEN 'RGB' ELSE 'RGBA' END AS model, CAST(l_quantity AS BIGINT) * 1000 AS pixels,
@@ -274,14 +265,14 @@ SELECT format, reason = '' AS fit, reason, count(*) AS files, CAST(sum(CASE WHEN
 QUERIES = {
     "report_lines": report_lines, "foreign_headers": foreign_headers,
     "manifest": manifest, "manifest_missing": manifest_missing, "quick_benchmark": quick_benchmark, "measurement_rows": measurement_rows, "first_images": first_images, "frame_play": frame_play,
-    "corpus_dedup": corpus_dedup, "corpus_excluded": corpus_excluded, "corpus_topn": corpus_topn, "corpus_rollup": corpus_rollup, "safe_names": safe_names, "safe_names_all": safe_names_all,
+    "corpus_dedup": corpus_dedup, "corpus_excluded": corpus_excluded, "corpus_topn": corpus_topn, "corpus_rollup": corpus_rollup, "safe_names": safe_names,
     "codec_summary": codec_summary, "category_compare": category_compare, "color_model_compare": color_model_compare, "win_counts": win_counts,
     "equal_weight_mean": equal_weight_mean, "labelled_documents": labelled_documents,
 }
 ORACLES = {
     "report_lines": REPORT_LINES, "foreign_headers": FOREIGN_HEADERS,
     "manifest": MANIFEST, "manifest_missing": MANIFEST_MISSING, "quick_benchmark": QUICK_BENCHMARK, "measurement_rows": MEASUREMENT_ROWS, "first_images": FIRST_IMAGES, "frame_play": FRAME_PLAY,
-    "corpus_dedup": CORPUS_DEDUP, "corpus_excluded": CORPUS_EXCLUDED, "corpus_topn": CORPUS_TOPN, "corpus_rollup": CORPUS_ROLLUP, "safe_names": SAFE_NAMES, "safe_names_all": SAFE_NAMES_ALL,
+    "corpus_dedup": CORPUS_DEDUP, "corpus_excluded": CORPUS_EXCLUDED, "corpus_topn": CORPUS_TOPN, "corpus_rollup": CORPUS_ROLLUP, "safe_names": SAFE_NAMES,
     "codec_summary": CODEC_SUMMARY, "category_compare": _compare_sql("category"), "color_model_compare": _compare_sql("model"), "win_counts": WIN_COUNTS,
     "equal_weight_mean": EQUAL_WEIGHT_MEAN, "labelled_documents": LABELLED_DOCUMENTS,
 }

@@ -108,25 +108,33 @@ SELECT img, scan, n, CAST(c + 4 + {structure.run_cost('n')} AS BIGINT) AS cost,
     )
 
 
-#: Two images of 96 by 64: one that separates and one that doesn't; and a periodic one.
-_MADE = "SELECT 0 AS img, y, x, (13 * x + 3 * y + x * x) & 255 AS v FROM grid UNION ALL SELECT 1 AS img, y, x, 11 * (x {xor} y) & 255 AS v FROM grid UNION ALL SELECT 2 AS img, y, x, (5 * x + 9 * y + 31 * ((x % 4) * (y % 4))) & 255 AS v FROM grid"
-_GRID = "WITH grid AS (SELECT i // 96 AS y, i % 96 AS x FROM (SELECT unnest(range(6144)) AS i)),\nmade AS (SELECT img, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST(v AS INT) AS v FROM (" + _MADE.replace("(x {xor} y)", "xor(x, y)") + "))"
+#: Three images with all lines of the table: one that separates, the raster itself, and one that is periodic but for bright samples.
+#: c is a line's first sample.
+_MADE = ("13 * x + x * x + c", "v", "5 * x + 9 * y + 31 * ((x % 4) * (y % 4)) + CASE WHEN v > 250 THEN v ELSE 0 END")
+_MADE_SQL = (
+    raster.gray_sql()
+    + ",\nfirsts AS (SELECT y, x, v, max(CASE WHEN x = 0 THEN v END) OVER (PARTITION BY y) AS c FROM gray),\nmade AS ("
+    + " UNION ALL ".join(f"SELECT {i} AS img, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST(({t}) & 255 AS INT) AS v FROM firsts" for i, t in enumerate(_MADE))
+    + ")"
+)
+
+
+def made(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """img, y, line of the made images."""
+    lines = F.array(*(F.expr(f"transform(line, (v, x) -> CAST(({t.replace('+ c', '+ line[0]')}) & 255 AS INT))") for t in _MADE))
+    return raster.gray(spark, sf_dir).select(F.col("y").cast("int").alias("y"), F.posexplode(lines).alias("img", "line")).select("img", "y", "line")
 
 
-def made(spark: SparkSession) -> DataFrame:
-    """img, y, x, v of the made images."""
-    grid = spark.range(6144).selectExpr("CAST(id div 96 AS INT) AS y", "CAST(id % 96 AS INT) AS x")
-    parts = _MADE.format(xor="^").split(" UNION ALL ")
-    out = [grid.selectExpr(*(f"CAST(({e.rpartition(' AS ')[0]}) AS INT) AS {e.rpartition(' AS ')[2]}" if " AS " in e else e for e in p.removeprefix("SELECT ").removesuffix(" FROM grid").split(", "))) for p in parts]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+def _made_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.pixels(made(spark, sf_dir), "img", "y")
 
 
 def separable_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.separable(made(spark))
+    return structure.separable(_made_samples(spark, sf_dir))
 
 
 SEPARABLE_TEST = (
-    _GRID
+    _MADE_SQL
     + """,
 j AS (SELECT m.*, r.v AS rv, c.v AS cv, o.v AS ov FROM made m JOIN made r ON r.img = m.img AND r.y = 0 AND r.x = m.x JOIN made c ON c.img = m.img AND c.x = 0 AND c.y = m.y JOIN made o ON o.img = m.img AND o.x = 0 AND o.y = 0)
 SELECT img, count(*) AS pixels, count(*) FILTER (WHERE (rv + cv - ov) & 255 <> v) AS mismatches, count(*) FILTER (WHERE (rv + cv - ov) & 255 <> v) = 0 AS separable FROM j GROUP BY img"""
@@ -134,11 +142,11 @@ SELECT img, count(*) AS pixels, count(*) FILTER (WHERE (rv + cv - ov) & 255 <> v
 
 
 def separable_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.separable_deltas(made(spark))
+    return structure.separable_deltas(_made_samples(spark, sf_dir))
 
 
 SEPARABLE_DELTA = (
-    _GRID
+    _MADE_SQL
     + """
 SELECT img, 'row' AS side, x AS i, (v - coalesce(lag(v) OVER (PARTITION BY img ORDER BY x), 0)) & 255 AS delta FROM made WHERE y = 0
 UNION ALL SELECT img, 'column' AS side, y AS i, (v - coalesce(lag(v) OVER (PARTITION BY img ORDER BY y), 0)) & 255 AS delta FROM made WHERE x = 0"""
@@ -146,11 +154,11 @@ UNION ALL SELECT img, 'column' AS side, y AS i, (v - coalesce(lag(v) OVER (PARTI
 
 
 def gray_model_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.slopes(raster.unexploded(made(spark), "img", "y"), 4)
+    return structure.slopes(made(spark, sf_dir), 4)
 
 
 GRAY_MODEL_SLOPE = (
-    _GRID
+    _MADE_SQL
     + """,
 d AS (SELECT img, (v - lag(v, 4) OVER (PARTITION BY img, y ORDER BY x)) & 255 AS d FROM made),
 h AS (SELECT img, d, count(*) AS n FROM d WHERE d IS NOT NULL GROUP BY img, d),
@@ -160,11 +168,11 @@ SELECT img, a AS slope, CAST(cost AS BIGINT) AS cost FROM c QUALIFY row_number()
 
 
 def gray_model_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.phases(made(spark), 4, 5, 9)
+    return structure.phases(_made_samples(spark, sf_dir), 4, 5, 9)
 
 
 GRAY_MODEL_PHASE = (
-    _GRID
+    _MADE_SQL
     + """,
 r AS (SELECT img, y % 4 AS py, x % 4 AS px, (v - 5 * x - 9 * y) & 255 AS v, count(*) AS n FROM made GROUP BY ALL)
 SELECT img, py, px, v, n FROM r QUALIFY row_number() OVER (PARTITION BY img, py, px ORDER BY n DESC, v) = 1"""
@@ -298,19 +306,8 @@ SELECT anim, frame, delay, CAST(coalesce(sum(delay) OVER (PARTITION BY anim ORDE
 FROM (SELECT user_id AS anim, event_id AS frame, CASE WHEN event_id * 7 % 50 = 0 THEN 100 ELSE event_id * 7 % 50 END AS delay FROM events)"""
 
 
-def _sprite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each frame shows the same texture, two to the right and one down of where it was, on a still ground."""
-    rows = raster.gray(spark, sf_dir).filter("y < 50")
-    texture = rows.select("y", F.slice("line", 1, 24).alias("t")).filter("y < 12")
-    moved = texture.withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(7)))).selectExpr("CAST(frame AS BIGINT) AS frame", "y + frame AS y", "t")
-    ground = rows.select("y").distinct().withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(7)))).selectExpr("CAST(frame AS BIGINT) AS frame", "y")
-    both = ground.join(moved, ["frame", "y"], "left")
-    line = "transform(sequence(0, 63), x -> coalesce(get(t, CAST(x - 2 * frame AS INT)), 0))"
-    return both.select(F.lit(0).alias("anim"), "frame", "y", F.expr(line).alias("line"))
-
-
 def _sprites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sequence like that of `_sprite` for each 50 lines of the table."""
+    """A sequence for each 50 lines of the table: each of its 8 frames shows the same texture, two to the right and one down of where it was, on a still ground."""
     rows = raster.gray(spark, sf_dir).select(F.expr("y div 50").alias("anim"), F.expr("y % 50").alias("y"), F.slice("line", 1, 24).alias("t"))
     every = rows.withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("frame", F.col("frame").cast("long"))
     moved = every.filter("y < 12").select("anim", "frame", F.expr("y + frame").alias("y"), "t")
@@ -319,11 +316,7 @@ def _sprites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def move_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames.move_votes(_sprite(spark, sf_dir))
-
-
-def move_votes_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As move_votes, with votes from a sequence for each 50 lines of the whole table."""
+    """Votes for moves between frames of every sequence."""
     return frames.move_votes(_sprites(spark, sf_dir))
 
 
@@ -331,17 +324,6 @@ MOVE_VOTES = (
     "WITH "
     + raster.PX
     + """,
-fr AS (SELECT f.frame, g.y, g.x, coalesce(t.v0, 0) AS v FROM (SELECT unnest(range(8)) AS frame) f CROSS JOIN (SELECT y, x FROM px WHERE y < 50) g LEFT JOIN px t ON t.y = g.y - f.frame AND t.y < 12 AND t.x = g.x - 2 * f.frame AND t.x < 24),
-p AS (SELECT a.frame, a.y, a.x, a.v, [a.v, b.v, c.v, d.v] AS key FROM fr a JOIN fr b ON b.frame = a.frame AND b.y = a.y AND b.x = a.x + 1 JOIN fr c ON c.frame = a.frame AND c.y = a.y + 1 AND c.x = a.x JOIN fr d ON d.frame = a.frame AND d.y = a.y + 1 AND d.x = a.x + 1),
-o AS (SELECT frame, key, min(y) AS oy, min(x) AS ox FROM p GROUP BY frame, key HAVING count(*) = 1)
-SELECT 0 AS anim, n.frame, CAST(n.x - o.ox AS INT) AS dx, n.y - o.oy AS dy, count(*) AS votes FROM p n JOIN p w ON w.frame = n.frame - 1 AND w.y = n.y AND w.x = n.x AND w.v <> n.v JOIN o ON o.frame = n.frame - 1 AND o.key = n.key
-WHERE n.x <> o.ox OR n.y <> o.oy GROUP BY ALL HAVING count(*) >= 4"""
-)
-
-MOVE_VOTES_ALL = (
-    "WITH "
-    + raster.PX
-    + """,
 s AS (SELECT y // 50 AS anim, y % 50 AS y, x, v0 FROM px),
 fr AS (SELECT g.anim, f.frame, g.y, g.x, coalesce(t.v0, 0) AS v FROM (SELECT unnest(range(8)) AS frame) f CROSS JOIN s g LEFT JOIN s t ON t.anim = g.anim AND t.y = g.y - f.frame AND t.y < 12 AND t.x = g.x - 2 * f.frame AND t.x < 24),
 p AS (SELECT a.anim, a.frame, a.y, a.x, a.v, [a.v, b.v, c.v, d.v] AS key FROM fr a JOIN fr b ON b.anim = a.anim AND b.frame = a.frame AND b.y = a.y AND b.x = a.x + 1 JOIN fr c ON c.anim = a.anim AND c.frame = a.frame AND c.y = a.y + 1 AND c.x = a.x JOIN fr d ON d.anim = a.anim AND d.frame = a.frame AND d.y = a.y + 1 AND d.x = a.x + 1),
@@ -355,12 +337,12 @@ QUERIES = {
     "event_ranks": event_ranks, "scan_orders_cost": scan_orders_cost, "separable_test": separable_test, "separable_delta": separable_delta,
     "gray_model_slope": gray_model_slope, "gray_model_phase": gray_model_phase, "pattern_dictionary": pattern_dictionary, "block_refs": block_refs,
     "block_ops": block_ops, "block_scores": block_scores, "prefix_sum2d": prefix_sum2d, "frame_delta": frame_delta, "frame_types": frame_types,
-    "frame_timeline": frame_timeline, "move_votes": move_votes, "move_votes_all": move_votes_all,
+    "frame_timeline": frame_timeline, "move_votes": move_votes,
 }
 ORACLES = {
     "palette_lex": PALETTE_LEX, "palette_luma": PALETTE_LUMA, "index_histogram": INDEX_HISTOGRAM, "rle_runs": RLE_RUNS, "index_runs": INDEX_RUNS,
     "event_ranks": EVENT_RANKS, "scan_orders_cost": _orders_sql(), "separable_test": SEPARABLE_TEST, "separable_delta": SEPARABLE_DELTA,
     "gray_model_slope": GRAY_MODEL_SLOPE, "gray_model_phase": GRAY_MODEL_PHASE, "pattern_dictionary": PATTERN_DICTIONARY, "block_refs": BLOCK_REFS,
     "block_ops": _ops_sql(), "block_scores": BLOCK_SCORES, "prefix_sum2d": PREFIX_SUM2D, "frame_delta": FRAME_DELTA, "frame_types": FRAME_TYPES,
-    "frame_timeline": FRAME_TIMELINE, "move_votes": MOVE_VOTES, "move_votes_all": MOVE_VOTES_ALL,
+    "frame_timeline": FRAME_TIMELINE, "move_votes": MOVE_VOTES,
 }

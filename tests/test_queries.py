@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import formulas
 from tessera.operators import colour, corpus, frames, neighbors, predict, structure
-from tessera.plans import catalogue
+from tessera.plans import catalogue, structure_queries
+from tessera.sources import raster
 
 DATA = "/root/testdata/sf0.001"
 duckdb = pytest.importorskip("duckdb")
@@ -135,14 +136,29 @@ def test_every_frame_is_round_tripped(spark):
 @needs_data
 def test_votes_cover_all_lines(spark):
     lines = spark.read.parquet(f"{DATA}/embeddings.parquet").count()
-    rows = catalogue.QUERIES["move_votes_all"](spark, DATA).collect()
+    rows = catalogue.QUERIES["move_votes"](spark, DATA).collect()
     assert {r.anim for r in rows if (r.dx, r.dy) == (2, 1)} == set(range(-(-lines // 50)))
+    # a sequence by itself has the votes that it has among others
+    alone = frames.move_votes(structure_queries._sprites(spark, DATA).filter("anim = 1")).collect()
     votes = lambda found: sorted((r.frame, r.dx, r.dy, r.votes) for r in found)
-    assert votes(r for r in rows if r.anim == 0) == votes(catalogue.QUERIES["move_votes"](spark, DATA).collect())
+    assert votes(r for r in rows if r.anim == 1) == votes(alone) != []
 
 
 @needs_data
 def test_names_of_whole_texts(spark):
-    stems = {r.doc_id: r.stem for r in catalogue.QUERIES["safe_names_all"](spark, DATA).collect()}
+    stems = {r.doc_id: r.stem for r in catalogue.QUERIES["safe_names"](spark, DATA).collect()}
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
     assert stems.keys() == texts.keys() and all(re.fullmatch("[A-Za-z0-9._]+", s) for s in stems.values()) and max(map(len, stems.values())) > 1000
+
+
+def test_what_separates(spark):
+    rng = np.random.default_rng(5)
+    a = (rng.integers(0, 256, (70, 1)) + rng.integers(0, 256, (1, 9))) & 255
+    b = a.copy()
+    b[40, 3] ^= 1
+    both = picture(spark, a).unionByName(picture(spark, b, 1))
+    samples = raster.pixels(both, "img", "y")
+    assert {r.img: (r.mismatches, r.separable) for r in structure.separable(samples).collect()} == {0: (0, True), 1: (1, False)}
+    sides = {(r.side, r.i): r.delta for r in structure.separable_deltas(samples.filter("img = 0")).collect()}
+    want = {("row", i): v for i, v in enumerate(np.diff(a[0], prepend=0) & 255)} | {("column", i): v for i, v in enumerate(np.diff(a[:, 0], prepend=0) & 255)}
+    assert sides == want
