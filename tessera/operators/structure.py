@@ -15,6 +15,8 @@ ORDERS = [
     "y * w + x", "x * h + y", *(f"((x - ({k} * y)) % w + w) % w * h + y" for k in SHEARS),
     "y * w + CASE WHEN y % 2 = 1 THEN w - 1 - x ELSE x END", "x * h + CASE WHEN x % 2 = 1 THEN h - 1 - y ELSE y END",
 ]
+#: Ranks of a scan order that are put in order together.
+SPAN = 1 << 16
 #: Block operations by name.
 BLOCK_OPS = {"raw": 0, "flat": 1, "left": 2, "up": 3, "two": 4, "four": 5, "patterns": 6, "earlier": 7}
 
@@ -67,10 +69,16 @@ def runs(rows: DataFrame) -> DataFrame:
 
 
 def events(residuals: DataFrame, rank: str, w: int, h: int) -> DataFrame:
-    """img, rank, skip, e: residuals other than 0 in a scan order and how many zeros lie before each."""
+    """img, rank, skip, e: residuals other than 0 in a scan order and how many zeros lie before each.
+
+    Ranks are dealt in parts of SPAN, each ordered by itself; only a part's last rank, a row for each part, is ordered over the image."""
     r = F.expr(f.spark(f.named(rank, w=w, h=h))).cast("long").alias("rank")
-    some = residuals.filter("e <> 0").select("img", r, "e")
-    return some.withColumn("skip", F.col("rank") - F.coalesce(F.lag("rank").over(W.partitionBy("img").orderBy("rank")) + 1, F.lit(0)))
+    some = residuals.filter("e <> 0").select("img", r, "e").withColumn("part", F.expr(f"rank div {SPAN}"))
+    lasts = some.groupBy("img", "part").agg(F.max("rank").alias("last"))
+    before = lasts.select("img", "part", F.lag("last").over(W.partitionBy("img").orderBy("part")).alias("before"))
+    inside = F.lag("rank").over(W.partitionBy("img", "part").orderBy("rank"))
+    skip = F.col("rank") - F.coalesce(F.col("inside"), F.col("before"), F.lit(-1)) - 1
+    return some.withColumn("inside", inside).join(before, ["img", "part"]).select("img", "rank", "e", skip.alias("skip"))
 
 
 def run_cost(text: str) -> str:
@@ -78,12 +86,16 @@ def run_cost(text: str) -> str:
 
 
 def order_costs(residuals: DataFrame, w: int, h: int) -> DataFrame:
-    """img, scan, n, cost and best for the eight scan orders; ties to the lowest number."""
+    """img, scan, n, cost and best for the eight scan orders; ties to the lowest number. Parts of SPAN ranks are priced by themselves and joined at
+    their ends, so no image is one task."""
     ranks = F.array(*(F.expr(f.spark(f.named(r, w=w, h=h))).cast("long") for r in ORDERS))
-    some = residuals.filter("e <> 0").select("img", "e", F.posexplode(ranks).alias("scan", "rank"))
-    skip = some.withColumn("skip", F.col("rank") - F.coalesce(F.lag("rank").over(W.partitionBy("img", "scan").orderBy("rank")) + 1, F.lit(0)))
-    cost = F.sum(F.expr(f"{run_cost('skip')} + {run_cost('(abs(e) - 1)')} + 1"))
-    totals = skip.groupBy("img", "scan").agg(F.count("*").alias("n"), cost.alias("c"))
+    some = residuals.filter("e <> 0").select("img", "e", F.posexplode(ranks).alias("scan", "rank")).withColumn("part", F.expr(f"rank div {SPAN}"))
+    inside = some.withColumn("skip", F.col("rank") - F.lag("rank").over(W.partitionBy("img", "scan", "part").orderBy("rank")) - 1)
+    cost = F.sum(F.expr(f"CASE WHEN skip IS NULL THEN 0 ELSE {run_cost('skip')} END + {run_cost('(abs(e) - 1)')} + 1"))
+    parts = inside.groupBy("img", "scan", "part").agg(F.count("*").alias("n"), cost.alias("c"), F.min("rank").alias("first"), F.max("rank").alias("last"))
+    before = F.lag("last").over(W.partitionBy("img", "scan").orderBy("part"))
+    parts = parts.withColumn("skip", F.col("first") - F.coalesce(before, F.lit(-1)) - 1)
+    totals = parts.groupBy("img", "scan").agg(F.sum("n").alias("n"), F.sum(F.col("c") + F.expr(run_cost("skip"))).alias("c"))
     totals = totals.withColumn("cost", F.expr(f"c + 4 + {run_cost('n')}")).drop("c")
     return totals.withColumn("best", F.row_number().over(W.partitionBy("img").orderBy("cost", "scan")) == 1)
 

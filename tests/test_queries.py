@@ -162,3 +162,20 @@ def test_what_separates(spark):
     sides = {(r.side, r.i): r.delta for r in structure.separable_deltas(samples.filter("img = 0")).collect()}
     want = {("row", i): v for i, v in enumerate(np.diff(a[0], prepend=0) & 255)} | {("column", i): v for i, v in enumerate(np.diff(a[:, 0], prepend=0) & 255)}
     assert sides == want
+
+
+@pytest.mark.parametrize("span", [1, 7, 50, 1 << 16])
+def test_events_over_parts(spark, monkeypatch, span):
+    monkeypatch.setattr(structure, "SPAN", span)
+    e = np.random.default_rng(span).choice([0, 0, 0, 0, 0, 0, 0, 0, 1, -3], (13, 11))
+    rows = spark.createDataFrame([(0, y, x, int(v)) for (y, x), v in np.ndenumerate(e)], "img int, y int, x int, e int")
+    price = lambda n: 1 if n == 0 else 2 * int(n).bit_length()
+    costs = {r.scan: (r.n, r.cost) for r in structure.order_costs(rows, 11, 13).collect()}
+    for scan, (lines, step) in {0: (e, 1), 1: (e.T, 1), 6: (e, -1), 7: (e.T, -1)}.items():
+        flat = np.concatenate([line[::step] if i % 2 else line for i, line in enumerate(lines)])
+        at = np.flatnonzero(flat)
+        skips = np.diff(at, prepend=-1) - 1
+        assert costs[scan] == (len(at), 4 + price(len(at)) + sum(price(s) + price(abs(v) - 1) + 1 for s, v in zip(skips, flat[at])))
+        if scan == 0:
+            got = structure.events(rows, structure.ORDERS[0], 11, 13).select("rank", "skip", "e").collect()
+            assert sorted(map(tuple, got)) == [(int(a), int(s), int(flat[a])) for a, s in zip(at, skips)]
