@@ -168,8 +168,15 @@ def _equal_to(blocks: DataFrame, dy: int, dx: int, name: str) -> DataFrame:
 def earlier_blocks(blocks: DataFrame, across: str) -> DataFrame:
     """blocks with `number` (in line order, `across` to a line) and `distance` to the latest earlier block of equal content, null if none."""
     numbered = blocks.withColumn("number", F.col("ty") * F.expr(across) + F.col("tx"))
-    same = W.partitionBy("img", F.sha2(F.col("cells").cast("string"), 256), "bw", "bh").orderBy("number")
-    return numbered.withColumn("distance", F.col("number") - F.lag("number").over(same))
+    # a row for each content and part of SPAN numbers, so that a flat ground is many rows; only parts are ordered over the image
+    same = ["img", "_same", "bw", "bh"]
+    rest = [c for c in blocks.columns if c not in ("img", "bw", "bh", "cells")]
+    one = numbered.select("img", "bw", "bh", "cells", F.sha2(F.col("cells").cast("string"), 256).alias("_same"), F.expr(f"number div {SPAN}").alias("_part"), F.struct("number", *rest).alias("_b"))
+    parts = one.groupBy(*same, "_part").agg(F.first("cells").alias("cells"), F.array_sort(F.collect_list("_b")).alias("_all"))
+    parts = parts.withColumn("_before", F.lag(F.element_at("_all", -1)["number"]).over(W.partitionBy(*same).orderBy("_part")))
+    apart = F.expr("transform(_all, (b, i) -> struct(b AS b, b.number - coalesce(get(_all, i - 1).number, _before) AS distance))")
+    out = parts.select("img", "bw", "bh", "cells", F.explode(apart).alias("_f")).select("img", "bw", "bh", "cells", "_f.b.*", "_f.distance")
+    return out.select(*blocks.columns, "number", "distance")
 
 
 def block_ops(blocks: DataFrame, across: str) -> DataFrame:

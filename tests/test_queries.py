@@ -179,3 +179,13 @@ def test_events_over_parts(spark, monkeypatch, span):
         if scan == 0:
             got = structure.events(rows, structure.ORDERS[0], 11, 13).select("rank", "skip", "e").collect()
             assert sorted(map(tuple, got)) == [(int(a), int(s), int(flat[a])) for a, s in zip(at, skips)]
+
+
+@pytest.mark.parametrize("span", [1, 5, 1 << 16])
+def test_earlier_blocks_over_parts(spark, monkeypatch, span):
+    monkeypatch.setattr(structure, "SPAN", span)
+    kinds = np.random.default_rng(span).choice([0, 0, 0, 1, 2], 40)
+    rows = spark.createDataFrame([(0, i // 4, i % 4, 2, 1, [int(k), 0]) for i, k in enumerate(kinds)], "img int, ty int, tx int, bw int, bh int, cells array<int>")
+    got = {r.number: r.distance for r in structure.earlier_blocks(rows, "4").collect()}
+    want = {i: next((i - j for j in range(i - 1, -1, -1) if kinds[j] == kinds[i]), None) for i in range(40)}
+    assert got == want
